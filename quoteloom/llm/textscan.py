@@ -24,8 +24,9 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 9, 10, 11, 12, 13]] = True
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: A-Z to a-z, other bytes as they are.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 class Words(NamedTuple):
@@ -116,7 +117,7 @@ def scan(column: pa.Array, separator: np.ndarray = WHITE, lower: bool = False) -
     """The words of every row: longest runs of bytes that are not separators, within one row."""
     data, offsets = raw(column)
     if lower:
-        data = _LOWER[data]
+        data = LOWER[data]
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = ~separator[data]
     opens = inside[1:-1] & ~inside[:-2]
