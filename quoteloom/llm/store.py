@@ -84,3 +84,14 @@ def read_bytes(uri: str):
         return pa.memory_map(path).read_buffer()
     with filesystem.open_input_file(path) as f:
         return f.read_buffer()
+
+
+#: Ids up to this many are broadcast: at 16 bytes each in a task, 16 MB.
+BROADCAST_IDS = 1_000_000
+
+
+def only(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in ``ids``: a broadcast after a count of the ids, else a shuffled semi join."""
+    from pyspark.sql import functions as F
+
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
