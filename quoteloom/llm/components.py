@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .store import discard, keep
 
@@ -34,3 +35,30 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not changed:
             discard(both)
             return labels
+
+
+def components_by_keys(keys: DataFrame, verify, also: DataFrame | None = None) -> DataFrame:
+    """node, label: components of the pairs of nodes that share a key and pass ``verify``; no pair is missed.
+
+    keys: k, node, without repeated rows. verify: DataFrame (a, b) of pairs to a DataFrame (a, b) of those that link.
+    also: further pairs (a, b), a < b, to verify.
+
+    First every node of a key is held against the key's smallest node. Then, in keys whose nodes are still in
+    different components, all pairs of nodes of different components are. So the pairs within a component that its
+    keys share are never written out.
+    """
+    same_key = Window.partitionBy("k")
+    star = keep(keys.select(F.min("node").over(same_key).alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), "star")
+    links = verify(star)
+    labels = connected_components(links)
+    labelled = keys.join(labels, "node", "left").select("k", "node", F.coalesce("label", "node").alias("label"))
+    mixed = F.min("label").over(same_key) != F.max("label").over(same_key)
+    rest = keep(labelled.select("*", mixed.alias("mixed")).where("mixed").select("k", "node", "label"), "open-keys")
+    pairs = rest.alias("x").join(rest.alias("y"), F.expr("x.k = y.k and x.node < y.node and x.label <> y.label"))
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    if also is not None:
+        pairs = pairs.union(also).distinct()
+    more = verify(pairs.join(star, ["a", "b"], "left_anti"))
+    out = connected_components(links.union(more))
+    discard(labels, rest, star)
+    return out

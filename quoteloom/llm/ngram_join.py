@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import store, textscan
-from .components import connected_components
+from .components import components_by_keys
 
 _U = np.uint64
 BITMAP_BITS = 1 << 24
@@ -287,21 +287,8 @@ class NgramJoin:
         nodes = profile.where(F.col("node").isNotNull()).groupBy("node").agg(F.min_by(F.struct("key", "n_shingles", "sketch"), "key").alias("own"))
         sets = store.keep(nodes.select("node", "own.*"), "ngram-sets")
         keys, failed = self.index()
-        first = Window.partitionBy("k")
-        star = store.keep(keys.select(F.min("node").over(first).alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), "ngram-star")
-        links = self.verify(star, sets)
-        labels = connected_components(links)
-        # Keys whose nodes are still in different components, pair by pair of those
-        label = F.coalesce("label", "node").alias("label")
-        open_keys = keys.join(labels, "node", "left").select("k", "node", label)
-        mixed = F.min("label").over(first) != F.max("label").over(first)
-        rest = store.keep(open_keys.select("*", mixed.alias("mixed")).where("mixed").select("k", "node", "label"), "ngram-open")
-        pair = rest.alias("x").join(rest.alias("y"), F.expr("x.k = y.k and x.node < y.node and x.label <> y.label"))
-        pair = pair.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        if failed.limit(1).count():
-            pair = pair.union(self.shingle_pairs(failed)).distinct()
-        more = self.verify(pair.join(star, ["a", "b"], "left_anti"), sets)
-        return connected_components(links.union(more))
+        also = self.shingle_pairs(failed) if failed.limit(1).count() else None
+        return components_by_keys(keys, lambda pairs: self.verify(pairs, sets), also)
 
 
 def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
