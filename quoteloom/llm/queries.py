@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, media, ngram_join, quality, substring_dedup, token_files, warc
+from . import decontaminate, line_dedup, media, ngram_join, pieces, quality, substring_dedup, token_files, tool_calls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.from_conversations(table(spark, sf_dir, "conversations"))
+    return tool_calls.link(calls, results, tool_calls.ASK)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -26,6 +31,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), size=5, percent=75)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents"), pieces.model_path(), n=3)
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
 
@@ -50,9 +59,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_formatting": op1_chat_formatting,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_line_dedup": op3_line_dedup,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op5_sentencepiece": op5_sentencepiece,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_media_columns": op7_media_columns,
         "op8_token_files": op8_token_files,
