@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 from .store import discard, keep
 
+WIDE = 16
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, label (smallest id of its component) of all nodes of ``edges`` (a, b).
@@ -37,28 +39,38 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def components_by_keys(keys: DataFrame, verify, also: DataFrame | None = None) -> DataFrame:
+def components_by_keys(keys: DataFrame, verify, also: DataFrame | None = None, wide_pairs=None) -> DataFrame:
     """node, label: components of the pairs of nodes that share a key and pass ``verify``; no pair is missed.
 
     keys: k, node, without repeated rows. verify: DataFrame (a, b) of pairs to a DataFrame (a, b) of those that link.
-    also: further pairs (a, b), a < b, to verify.
+    also: further pairs (a, b), a < b, to verify. wide_pairs: how keys of more than WIDE nodes are searched, from a
+    DataFrame (node, label, centre) to pairs (a, b), a < b; without it they are searched as the others are.
 
-    First every node of a key is held against the key's smallest node. Then, in keys whose nodes are still in
-    different components, all pairs of nodes of different components are. So the pairs within a component that its
-    keys share are never written out.
+    First every node of a key is held against the key's centre: the node whose keys have the most nodes in all, so
+    of copies with different changes the original. Then, in keys whose nodes are still in different components, all
+    pairs of nodes of different components are. So the pairs within a component that its keys share are never
+    written out.
     """
     same_key = Window.partitionBy("k")
-    star = keep(keys.select(F.min("node").over(same_key).alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), "star")
+    counted = keys.select("k", "node", F.count("*").over(same_key).alias("n"))
+    weights = keep(counted.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    centre = F.max(F.struct("weight", "node")).over(same_key)["node"]
+    centred = keep(keys.join(weights, "node").select("k", "node", centre.alias("centre"), F.count("*").over(same_key).alias("n")), "centres")
+    star = centred.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    star = keep(star, "star")
     links = verify(star)
     labels = connected_components(links)
-    labelled = keys.join(labels, "node", "left").select("k", "node", F.coalesce("label", "node").alias("label"))
+    labelled = centred.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = F.min("label").over(same_key) != F.max("label").over(same_key)
-    rest = keep(labelled.select("*", mixed.alias("mixed")).where("mixed").select("k", "node", "label"), "open-keys")
-    pairs = rest.alias("x").join(rest.alias("y"), F.expr("x.k = y.k and x.node < y.node and x.label <> y.label"))
+    rest = keep(labelled.select("*", mixed.alias("mixed")).where("mixed").drop("mixed"), "open-keys")
+    narrow = rest.where(F.col("n") <= WIDE) if wide_pairs else rest
+    pairs = narrow.alias("x").join(narrow.alias("y"), F.expr("x.k = y.k and x.node < y.node and x.label <> y.label"))
     pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    if wide_pairs:
+        pairs = pairs.union(wide_pairs(rest.where(F.col("n") > WIDE).select("node", "label", "centre").distinct())).distinct()
     if also is not None:
         pairs = pairs.union(also).distinct()
     more = verify(pairs.join(star, ["a", "b"], "left_anti"))
     out = connected_components(links.union(more))
-    discard(labels, rest, star)
+    discard(labels, rest, star, weights, centred)
     return out

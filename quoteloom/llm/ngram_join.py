@@ -13,15 +13,15 @@ difference, so in some segment the sets are equal (v = 1), or differ by one shin
 on the segment's content and the other set walks at least as far, so both index a common key.
 
 *Allocation by cost.* v = 2 is given from a segment size on. Number of segments and that size are chosen per band to
-minimise the expected number of keys (those of single shingles, which are the least selective, count more), with
-the total v well beyond H + 1. A set whose segments fall too unevenly for that is joined by its shingles instead.
+minimise the expected number of keys (those of single shingles, which are the least selective, count more), so
+that the share COLD of a set's shingles is enough for H + 1. A set whose segments fall too unevenly for that is joined by its shingles instead.
 
 *Hot shingles.* Shingles counted often by the tasks that read the corpus are put into segments of their own, walked
 last; which ones these are decides the order only, never the result. They come as a bitmap of fixed size.
 
-*Verification.* Candidates of a key are linked with its smallest set first; after components are formed, only sets
-of one key in different components are compared, so a group of near copies costs rows, not pairs. A pair is
-dropped if sketches of bucket counts prove too large a difference, else compared exactly from the texts.
+*Verification.* The sets of a key are compared with its centre first; after components are formed, only sets of one
+key in different components are compared, those of keys with many sets by their differences from the centre. So a
+group of near copies costs rows, not pairs. A pair is dropped if sketches of bucket counts prove too large a difference, else compared exactly from the texts.
 
 Defined results: texts without words are linked with nothing; equal sets are one node; documents with equal ids and
 different texts are different nodes with the same id; a null ``doc_id`` links but is never a component's name unless
@@ -44,9 +44,12 @@ from .components import components_by_keys
 
 _U = np.uint64
 BITMAP_BITS = 1 << 24
-#: A shingle is hot if tasks that each saw it at least LOCAL times saw it HOT times in all.
-LOCAL, HOT, FLUSH = 4, 32, 2_000_000
+#: A shingle is hot if tasks that each saw it at least LOCAL times saw it HOT times in all, or a power of two of that
+#: many times, so that at most a sixteenth of the bitmap's bits are set.
+LOCAL, HOT, FLUSH = 2, 16, 6_000_000
 SKETCH = 192
+#: Sets with this share of shingles that are not hot should never walk to the hot segments.
+COLD = 0.45
 
 
 def shingle_sets(words: textscan.Words, rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,10 +92,11 @@ def allocate(band: int, percent: int) -> tuple[int, int]:
         load = top / segments
         p = [math.exp(-load) * load**i / math.factorial(i) for i in range(24)]
         for deep in (3, 4, 5, 6):
-            double = sum(p[deep:])
-            units, keys = 1 - p[0] + double, 1 - p[0] + sum(i * x for i, x in enumerate(p) if i >= deep)
-            spread = math.sqrt(segments * (p[0] * (1 - (1 + load) * p[0]) + double * (1 - double)))
-            if units * segments - 8 * spread < need:
+            units, keys = 1 - p[0] + sum(p[deep:]), 1 - p[0] + sum(i * x for i, x in enumerate(p) if i >= deep)
+            cold = [math.exp(-load * COLD) * (load * COLD) ** i / math.factorial(i) for i in range(24)]
+            double = sum(cold[deep:])
+            spread = math.sqrt(segments * (cold[0] * (1 - (1 + load * COLD) * cold[0]) + double * (1 - double)))
+            if (1 - cold[0] + double) * segments - 4 * spread < need:
                 continue
             best = min(best, (need / units * (keys + p[1]), segments, deep))
     return best[1:]
@@ -202,6 +206,10 @@ class NgramJoin:
                 yield flush()
 
         counted = self.docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
+        counted = store.keep(counted, "ngram-counts")
+        steps = counted.groupBy(F.floor(F.log2(F.col("n") / HOT)).alias("step")).count().toPandas()  # at most 60 rows
+        least = min([x for x in range(61) if steps["count"][steps["step"] >= x].sum() <= BITMAP_BITS // 16], default=60)
+        counted = counted.where(F.col("n") >= HOT << least)
         low = counted.select((F.col("h").bitwiseAND(BITMAP_BITS - 1)).cast("int").alias("low"))
         bits = low.groupBy(F.expr("shiftright(low, 5)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, low & 31))").alias("bits"))
         out = np.zeros(BITMAP_BITS // 32, np.uint32)
@@ -238,9 +246,75 @@ class NgramJoin:
         wanted = rows.join(nodes, "node", "left_semi").distinct().withColumnRenamed("node", "a")
         return rows.withColumnRenamed("node", "b").join(wanted, "h").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
+    def members(self, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+        """node, members (the sorted hashes of its set, as bytes) of ``nodes``, from the texts."""
+        size = self.size
+        found = store.keep(sets.join(nodes, "node", "left_semi").select("node", "key"), "ngram-nodes")
+        texts = store.only(self.docs.select("key", "text"), found.select("key"), "key").join(found, "key").select("node", "text")
+
+        def own(batches):
+            for batch in batches:
+                for piece, _, h, edge in sets_of([batch], size):
+                    nodes = piece["node"].to_numpy()
+                    same = np.flatnonzero(set_id(h, edge) == nodes)  # not another text of the same key
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[same]), pa.array([h[edge[i] : edge[i + 1]].tobytes() for i in same], pa.binary())], ["node", "members"])
+
+        out = store.keep(texts.mapInArrow(own, "node long, members binary").dropDuplicates(["node"]), "ngram-members")
+        store.discard(found)
+        return out
+
+    def wide_pairs(self, open_nodes: DataFrame, sets: DataFrame) -> DataFrame:
+        """a, b: candidates among nodes of different labels that share a centre (node, label, centre).
+
+        The differences of two sets from their centre differ as the sets do. Sets that link and differ from the centre
+        by more than H in all have a difference in common; those that don't are both linked to the centre. So the
+        differences are joined by prefixes, what a set has beyond the centre before what it lacks: H / 2 + 1 of the
+        smaller difference, H + 1 of the larger.
+        """
+        percent = self.percent
+        members = self.members(open_nodes.select("node").union(open_nodes.select("centre")).distinct(), sets)
+
+        def run(batches):
+            for batch in batches:
+                keys, rows, place, sizes = [], [], [], []
+                for i, (own, centre, name) in enumerate(zip(batch["x"], batch["y"], batch["centre"].to_pylist(), strict=True)):
+                    own, centre = (np.frombuffer(s.as_buffer(), np.uint64) for s in (own, centre))
+                    more, less = np.setdiff1d(own, centre, assume_unique=True), np.setdiff1d(centre, own, assume_unique=True)
+                    change = np.concatenate([more, less])
+                    most = len(own) * (100 - percent) // percent
+                    keys.append(textscan.mix(change[: most + 1] ^ textscan.mix(np.array([name], np.int64).view(np.uint64))))
+                    rows.append(np.full(len(keys[-1]), i))
+                    place.append(np.arange(len(keys[-1])))
+                    sizes.append((len(more), len(less), len(own), most))
+                if not rows:
+                    continue
+                at, place = np.concatenate(rows), np.concatenate(place)
+                more, less, n, most = np.array(sizes, np.int64)[at].T
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(textscan.signed(np.concatenate(keys))), batch["node"].take(pa.array(at)), batch["label"].take(pa.array(at)), pa.array(more), pa.array(less), pa.array(n), pa.array(more + less - place), pa.array(place <= most // 2)],
+                    ["k", "node", "label", "more", "less", "n", "left", "short"],
+                )
+
+        side = lambda node, column: members.select(F.col("node").alias(node), F.col("members").alias(column))
+        rows = open_nodes.join(side("node", "x"), "node").join(side("centre", "y"), "centre").select("node", "label", "centre", "x", "y")
+        rows = store.keep(rows.mapInArrow(run, "k long, node long, label long, more long, less long, n long, left long, short boolean"), "ngram-changes")
+        d = "({0}.more + {0}.less)".format
+        most = f"{100 - percent} * (x.n + y.n) div {100 + percent}"
+        holds = [
+            "x.k = y.k",
+            "x.label <> y.label",
+            f"x.short and ({d('x')} < {d('y')} or {d('x')} = {d('y')} and x.node < y.node)",
+            f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)",
+            f"abs(x.more - y.more) + abs(x.less - y.less) <= {most}",
+            # of their first common change on, the pair must have as many as it needs in all
+            f"2 * least(x.left, y.left) >= {d('x')} + {d('y')} - {most}",
+        ]
+        pairs = rows.alias("x").join(rows.alias("y"), F.expr(" and ".join(f"({h})" for h in holds)))
+        return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
     def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """a, b: the pairs (a, b) of nodes whose sets link. sets: node, key, n_shingles, sketch."""
-        size, percent = self.size, self.percent
+        percent = self.percent
 
         def near(batches):
             for batch in batches:
@@ -255,18 +329,7 @@ class NgramJoin:
         side = lambda x: sets.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
         fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
         close = store.keep(pairs.join(side("a"), "a").join(side("b"), "b").where(fits).mapInArrow(near, "a long, b long"), "ngram-close")
-        nodes = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-        found = store.keep(sets.join(nodes, "node", "left_semi").select("node", "key"), "ngram-nodes")
-        texts = store.only(self.docs.select("key", "text"), found.select("key"), "key").join(found, "key").select("node", "text")
-
-        def own(batches):
-            for batch in batches:
-                for piece, _, h, edge in sets_of([batch], size):
-                    nodes = piece["node"].to_numpy()
-                    same = np.flatnonzero(set_id(h, edge) == nodes)  # not another text of the same key
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[same]), pa.array([h[edge[i] : edge[i + 1]].tobytes() for i in same], pa.binary())], ["node", "members"])
-
-        members = store.keep(texts.mapInArrow(own, "node long, members binary").dropDuplicates(["node"]), "ngram-members")
+        members = self.members(close.select(F.col("a").alias("node")).union(close.select("b")).distinct(), sets)
 
         def exact(batches):
             for batch in batches:
@@ -279,7 +342,7 @@ class NgramJoin:
 
         sides = close.join(members.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(members.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
         out = store.keep(sides.mapInArrow(exact, "a long, b long"), "ngram-links")
-        store.discard(close, found, members)
+        store.discard(close, members)
         return out
 
     def components(self, profile: DataFrame) -> DataFrame:
@@ -288,7 +351,7 @@ class NgramJoin:
         sets = store.keep(nodes.select("node", "own.*"), "ngram-sets")
         keys, failed = self.index()
         also = self.shingle_pairs(failed) if failed.limit(1).count() else None
-        return components_by_keys(keys, lambda pairs: self.verify(pairs, sets), also)
+        return components_by_keys(keys, lambda pairs: self.verify(pairs, sets), also, lambda nodes: self.wide_pairs(nodes, sets))
 
 
 def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:

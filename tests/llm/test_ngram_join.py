@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quoteloom.llm import ngram_join, textscan
+from quoteloom.llm import components, ngram_join, textscan
 from quoteloom.llm.components import connected_components
 from quoteloom.llm.ngram_join import NgramJoin, ngram_components
 
@@ -54,14 +54,33 @@ def corpus(seed, n=120):
     return [*docs, (1, None), (2, ""), (3, " \n"), docs[5], (None, docs[7][1]), (None, "only null id here"), (docs[9][0], "another text of the same id")]
 
 
-@pytest.mark.parametrize("seed,percent,hot", [(1, 75, 32), (2, 75, 2), (3, 60, 4), (4, 100, 32)])
-def test_equals_brute_force(spark, monkeypatch, seed, percent, hot):
+@pytest.mark.parametrize("seed,percent,hot,wide", [(1, 75, 16, 16), (2, 75, 2, 2), (3, 60, 4, 2)])
+def test_equals_brute_force(spark, monkeypatch, seed, percent, hot, wide):
     monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(components, "WIDE", wide)
     docs = corpus(seed)
     frame = spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, node long")
     assert sorted(map(tuple, ngram_components(frame, 5, percent).collect()), key=repr) == brute(docs, percent)
 
 
+def test_group_of_near_copies(spark, monkeypatch):
+    """Variants of one text with more and more changes: some link to it, some only to each other, some to none."""
+    monkeypatch.setattr(ngram_join, "HOT", 4)
+    monkeypatch.setattr(components, "WIDE", 4)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(150):
+        near = list(base)
+        for _ in range(rng.randrange(12)):
+            near[rng.randrange(len(near))] = f"v{rng.randrange(40)}"
+        docs.append((i, " ".join(near)))
+        if i % 10 == 0:
+            near[3] = "again"
+            docs.append((1000 + i, " ".join(near)))
+    assert sorted(map(tuple, ngram_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=repr) == brute(docs)
+
+
 def test_sets_that_fail_to_allocate(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "allocate", lambda band, percent: (2, 6))
     docs = corpus(7, 60)
