@@ -1,19 +1,446 @@
-"""All named queries and their SQL."""
+"""All named queries over the driver's tables; their SQL is in ``oracles``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import settle as s
+from ..operators import coverage, history, ops, quotes, resolve
+from ..sources import binding, wire
+from . import oracles
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+NOW_MS = 1_704_067_200_000
+MAX_AGE_MS = 5 * 365 * 86_400_000
+PAIR = ["event", "slot_a", "slot_b"]
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.best_price(binding.quotes(spark, sf_dir))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.pairs(_best(spark, sf_dir))
+
+
+@query
+def best_price(spark, sf_dir):
+    return _best(spark, sf_dir).select("event", "slot", "book", "odds", "observed_ms", "leg_id")
+
+
+@query
+def best_price_diversified(spark, sf_dir):
+    return quotes.diversified(binding.quotes(spark, sf_dir))
+
+
+@query
+def candidate_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).select(*PAIR, "odds_a", "odds_b")
+
+
+@query
+def candidate_triples(spark, sf_dir):
+    return quotes.triples(_best(spark, sf_dir)).select(*PAIR, "slot_c", F.round(1 / F.col("odds_a") + 1 / F.col("odds_b") + 1 / F.col("odds_c"), 6).alias("reciprocal"))
+
+
+@query
+def candidate_cap(spark, sf_dir):
+    return quotes.capped(_pairs(spark, sf_dir).select(*PAIR), PAIR, 20_000).select(*PAIR, F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def prune_verdicts(spark, sf_dir):
+    reasons = F.array_join(quotes.prune_reasons(F.lit(NOW_MS), MAX_AGE_MS), "+").alias("reasons")
+    return _pairs(spark, sf_dir).select(*PAIR, reasons)
+
+
+@query
+def structure_class(spark, sf_dir):
+    two = _pairs(spark, sf_dir).select(quotes.structure(2).alias("structure"), F.lit(2).alias("legs"))
+    three = quotes.triples(_best(spark, sf_dir)).select(quotes.structure(3).alias("structure"), F.lit(3).alias("legs"))
+    return two.unionByName(three).groupBy("legs", "structure").agg(F.count("*").alias("candidates"))
+
+
+@query
+def complement_prefilter(spark, sf_dir):
+    total = 1 / F.col("odds_a") + 1 / F.col("odds_b")
+    return _pairs(spark, sf_dir).where(quotes.is_complement() & (total < 1)).select(*PAIR, F.round(total, 6).alias("reciprocal"))
+
+
+def _settled(spark, sf_dir, families=None, slots=None):
+    rows = binding.matches(spark, sf_dir)
+    dim = binding.slots(spark) if slots is None else slots
+    if families:
+        dim = dim.where(F.col("family").isin(*families))
+    both = rows.join(F.broadcast(dim), F.lit(True))  # every match against the few selections of the dimension
+    return both.withColumn("result", s.settle(F.col("family"), F.col("outcome"), F.col("participant"), F.col("line_c"), F.col("home"), F.col("away")))
+
+
+def _counted(df):
+    return df.groupBy("slot", "home", "away").agg(F.max("result").alias("result"), F.count("*").alias("matches"))
+
+
+@query
+def settle_totals(spark, sf_dir):
+    return _counted(_settled(spark, sf_dir, ["MATCH_TOTAL", "TEAM_TOTAL"]))
+
+
+@query
+def settle_quarter(spark, sf_dir):
+    return _counted(_settled(spark, sf_dir, ["ASIAN_TOTAL"]))
+
+
+@query
+def settle_result(spark, sf_dir):
+    return _counted(_settled(spark, sf_dir, ["MATCH_RESULT", "DOUBLE_CHANCE"]))
+
+
+@query
+def settle_btts(spark, sf_dir):
+    return _counted(_settled(spark, sf_dir, ["BTTS"]))
+
+
+@query
+def settle_handicap(spark, sf_dir):
+    rows = [(20 + i, "ASIAN_HANDICAP", "HANDICAP", p, c, p, 1.9) for i, (p, c) in enumerate([("HOME", -100), ("HOME", 25), ("AWAY", -75), ("AWAY", 150)])]
+    return _counted(_settled(spark, sf_dir, None, spark.createDataFrame(rows, binding.SLOT_SCHEMA)))
+
+
+@query
+def settle_exact(spark, sf_dir):
+    rows = [(30, "EXACT_SCORE", "EXACT", None, None, "2-1", 9.0), (31, "EXACT_SCORE", "EXACT", None, None, "0-0", 8.0), (32, "EXACT_SCORE", "EXACT", None, None, "x-1", 8.0)]
+    return _counted(_settled(spark, sf_dir, None, spark.createDataFrame(rows, binding.SLOT_SCHEMA)))
+
+
+@query
+def settle_void(spark, sf_dir):
+    rows = _settled(spark, sf_dir).withColumn("settled", s.settle_match(F.col("status"), F.col("result")))
+    return rows.groupBy("slot", "status", "settled").agg(F.count("*").alias("matches"))
+
+
+@query
+def payout(spark, sf_dir):
+    rows = _settled(spark, sf_dir).where("status = 'FINISHED'")
+    return rows.groupBy("slot").agg(F.round(F.sum(s.multiplier(F.col("result"), F.col("base"))), 4).alias("returned"), F.count("*").alias("matches"))
+
+
+@query
+def state_vectors(spark, sf_dir):
+    found = coverage.structures(binding.slots(spark), 2)
+    return found.select("slot_a", "slot_b", "n_states", F.size("vectors").cast("long").alias("n_classes"))
+
+
+@query
+def coverage_verdicts(spark, sf_dir):
+    found = coverage.structures(binding.slots(spark), 2).withColumn("verdict", coverage.verdict())
+    rows = _pairs(spark, sf_dir).join(F.broadcast(found), ["slot_a", "slot_b"])  # 66 combinations of the dimension
+    return rows.groupBy("slot_a", "slot_b", "verdict", "n_lost", "n_overlap", "n_gap").agg(F.count("*").alias("candidates"))
+
+
+@query
+def payoff_matrix(spark, sf_dir):
+    rows = _covered(spark, sf_dir)
+    return rows.select(*PAIR, F.size("vectors").cast("long").alias("states"), F.round(F.array_max(F.flatten(coverage.payoffs(2))), 6).alias("largest"))
+
+
+def _covered(spark, sf_dir):
+    found = coverage.structures(binding.slots(spark), 2).withColumn("verdict", coverage.verdict()).where("verdict = 'COVERED'")
+    return _pairs(spark, sf_dir).join(F.broadcast(found), ["slot_a", "slot_b"])
+
+
+@query
+def classic_two_way(spark, sf_dir):
+    total = 1 / F.col("odds_a") + 1 / F.col("odds_b")
+    rows = _pairs(spark, sf_dir).where(quotes.is_complement())
+    return rows.select(*PAIR, F.round(100 / F.col("odds_a") / total, 6).alias("stake_a"), F.round(100 / F.col("odds_b") / total, 6).alias("stake_b"), F.round(1 / total - 1, 6).alias("roi"))
+
+
+@query
+def classic_three_way(spark, sf_dir):
+    total = sum(1 / F.col(f"odds_{x}") for x in "abc")
+    rows = quotes.triples(_best(spark, sf_dir)).where("slot_a = 5 and slot_b = 6 and slot_c = 7")
+    return rows.select("event", *(F.round(100 / F.col(f"odds_{x}") / total, 6).alias(f"stake_{x}") for x in "abc"), F.round(1 / total - 1, 6).alias("roi"))
+
+
+@query
+def maximin_two_leg(spark, sf_dir):
+    return coverage.maximin_two(_covered(spark, sf_dir)).select(*PAIR, F.round("best_return", 6).alias("best_return"))
+
+
+@query
+def maximin_three_leg(spark, sf_dir):
+    found = coverage.structures(binding.slots(spark), 3).withColumn("verdict", coverage.verdict()).where("verdict = 'COVERED'")
+    rows = quotes.triples(_best(spark, sf_dir)).join(F.broadcast(found), ["slot_a", "slot_b", "slot_c"])
+    return coverage.maximin_many(rows, 3).withColumn("best_return", F.round("best_return", 6))
+
+
+def _scanned(spark, sf_dir):
+    found = coverage.structures(binding.slots(spark), 2).withColumn("verdict", coverage.verdict())
+    rows = coverage.maximin_two(_pairs(spark, sf_dir).join(F.broadcast(found), ["slot_a", "slot_b"]))
+    pruned = (F.col("book_a") == F.col("book_b")) | (quotes.is_complement() & (1 / F.col("odds_a") + 1 / F.col("odds_b") >= 1))
+    return rows.withColumn("status", coverage.scan_status(pruned, F.col("verdict"), F.round("best_return", 9)))
+
+
+@query
+def scan_status(spark, sf_dir):
+    return _scanned(spark, sf_dir).select(*PAIR, "status")
+
+
+@query
+def validation_status(spark, sf_dir):
+    oldest = F.greatest(*(F.lit(NOW_MS) - F.col(f"observed_ms_{x}") for x in "ab"))
+    apart = F.abs(F.col("observed_ms_a") - F.col("observed_ms_b"))
+    attested = (F.col("book_a") % 7 != 0) & (F.col("book_b") % 7 != 0)
+    status = coverage.validation(F.col("status"), F.col("event") % 11 == 0, F.col("event") % 13 != 0, attested, oldest > 6 * 365 * 86_400_000, apart > 3 * 365 * 86_400_000, F.col("event") % 3 != 0)
+    return _scanned(spark, sf_dir).select(*PAIR, status.alias("status"))
+
+
+@query
+def freshness_bands(spark, sf_dir):
+    age = coverage.price_age(F.lit(20_000), F.col("latency_ms"), F.col("started_ms"))
+    return binding.runs(spark, sf_dir).groupBy("source", coverage.freshness(age).alias("band")).agg(F.count("*").alias("runs"))
+
+
+@query
+def recheck_compare(spark, sf_dir):
+    """Best price of every selection against that of the books that are still there."""
+    q = binding.quotes(spark, sf_dir)
+    now = quotes.best_price(q.where(F.col("book") % 2 == 0)).select("event", "slot", F.col("odds").alias("now"))
+    both = quotes.best_price(q).join(now, ["event", "slot"], "left")
+    moved = F.abs(F.col("now") - F.col("odds")) / F.col("odds") > 0.001
+    return both.groupBy(F.when(F.col("now").isNull(), "MISSING").when(moved, "CHANGED").otherwise("OK").alias("outcome")).agg(F.count("*").alias("selections"))
+
+
+@query
+def cross_source_spread(spark, sf_dir):
+    spread = F.abs(F.col("observed_ms_a") - F.col("observed_ms_b"))
+    return _pairs(spark, sf_dir).groupBy("slot_a", "slot_b").agg(F.max(spread).alias("spread_ms"), F.count_if(spread <= 60_000).alias("within"))
+
+
+@query
+def rule_asof(spark, sf_dir):
+    day = 86_400_000
+    rows = [(src, v, None if v == 0 else NOW_MS + v * 3 * day + src * 1000, None if v % 2 else NOW_MS + (v + 2) * 3 * day) for src in range(9) for v in range(6)]
+    rules = spark.createDataFrame(rows, "source long, version int, from_ms long, to_ms long")
+    return history.rule_as_of(binding.runs(spark, sf_dir), rules)
+
+
+@query
+def price_changes(spark, sf_dir):
+    return history.changes(binding.series(spark, sf_dir)).select("user_id", "event_type", "at_ms", "seq", "price", "before")
+
+
+@query
+def odds_history(spark, sf_dir):
+    return history.odds_history(binding.series(spark, sf_dir), "purchase", NOW_MS, NOW_MS + 7 * 86_400_000, 100)
+
+
+@query
+def leg_movement(spark, sf_dir):
+    return history.movement(binding.series(spark, sf_dir))
+
+
+@query
+def episodes(spark, sf_dir):
+    return history.episodes(binding.series(spark, sf_dir), 3 * 86_400_000).select("user_id", "event_type", "episode", "first_ms", "last_ms", "detected", "duration_ms")
+
+
+@query
+def episode_reconstruction(spark, sf_dir):
+    found = history.episodes(binding.series(spark, sf_dir), 3 * 86_400_000)
+    delta = F.col("closed") - F.col("opened")
+    return found.select("user_id", "event_type", "episode", "opened", "closed", F.round(delta, 6).alias("delta"), F.round(delta / F.col("opened"), 6).alias("share"))
+
+
+@query
+def episode_sweep(spark, sf_dir):
+    rows = binding.series(spark, sf_dir)
+    stored = rows.groupBy(*history.SERIES).agg(F.max("at_ms").alias("last_ms"), (F.count("*") % 3 != 0).alias("open"))
+    return history.sweep(stored, rows.where(F.col("price") > 1.15), F.lit(NOW_MS + 30 * 86_400_000))
+
+
+@query
+def source_latency(spark, sf_dir):
+    return history.latency(binding.runs(spark, sf_dir))
+
+
+@query
+def source_reliability(spark, sf_dir):
+    return history.reliability(spark.range(12).withColumnRenamed("id", "source"), binding.runs(spark, sf_dir))
+
+
+@query
+def false_positive(spark, sf_dir):
+    e = binding.table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("run_id"))
+    last = history.latest(binding.runs(spark, sf_dir).join(e, "run_id"), ["user_id"], ["started_ms", "run_id"])
+    return history.false_positives(last)
+
+
+@query
+def latest_per_key(spark, sf_dir):
+    return history.latest(binding.series(spark, sf_dir), history.SERIES, ["at_ms", "seq"])
+
+
+@query
+def keyset_page(spark, sf_dir):
+    o = binding.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return ops.page(o, "o_totalprice", "o_orderkey", 50, after=(100_000.0, 0))
+
+
+@query
+def event_filters(spark, sf_dir):
+    e = binding.provider_events(spark, sf_dir)
+    return e.where(F.lower("competition").contains("urgent") & F.lower("home").contains("an") & (F.col("start_ms") >= 788_918_400_000)).select("id", "home", "away", "competition")
+
+
+@query
+def admin_counts(spark, sf_dir):
+    n = binding.table(spark, sf_dir, "nation")
+    c = binding.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"))
+    p = binding.table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers"))
+    zero = [F.coalesce(x, F.lit(0)).alias(x) for x in ("customers", "suppliers")]
+    return n.join(c, "n_nationkey", "left").join(p, "n_nationkey", "left").select("n_name", *zero)
+
+
+@query
+def scanner_summary(spark, sf_dir):
+    r = binding.runs(spark, sf_dir)
+    last = F.struct("started_ms", "run_id")
+    return r.agg(F.max_by("status", last).alias("status"), F.count_if(F.col("latency_ms") > 30_000).alias("slow"), F.max("started_ms").alias("last_ms"))
+
+
+@query
+def retention_report(spark, sf_dir):
+    return ops.retention(binding.runs(spark, sf_dir), "started_ms", F.lit(NOW_MS + 60 * 86_400_000), 45, 1000, 20)
+
+
+@query
+def alert_fsm(spark, sf_dir):
+    return ops.alert_events(binding.runs(spark, sf_dir), hysteresis=1, renotify_ms=0)
+
+
+@query
+def token_bucket(spark, sf_dir):
+    return ops.token_bucket(binding.runs(spark, sf_dir), 10, 5).groupBy("source", "allowed").agg(F.count("*").alias("requests"))
+
+
+@query
+def throttled_audit(spark, sf_dir):
+    return ops.throttled(binding.runs(spark, sf_dir), ["source", "status"], "started_ms", "run_id", 60_000).groupBy("source", "status").agg(F.count("*").alias("kept"))
+
+
+@query
+def health_eval(spark, sf_dir):
+    state = ops.health(F.col("status"), F.col("latency_ms"), 15_000)
+    return binding.runs(spark, sf_dir).groupBy("source", state.alias("health")).agg(F.count("*").alias("runs"))
+
+
+@query
+def market_fold(spark, sf_dir):
+    q = binding.quotes(spark, sf_dir)
+    return resolve.fold_markets(q, ["event", "slot"], ["observed_ms", "leg_id"], "leg_id")
+
+
+@query
+def event_match(spark, sf_dir):
+    e = binding.provider_events(spark, sf_dir)
+    return resolve.match_events(e.where("provider = 1"), e.where("provider = 0"))
+
+
+DICTIONARY = [("france", "FRANCE"), ("united states", "UNITED STATES"), ("germany", "DEUTSCHLAND"), ("brazil", "BRASIL"), ("japan", "JAPAN")]
+
+
+@query
+def dictionary_resolve(spark, sf_dir):
+    names = binding.table(spark, sf_dir, "nation").select("n_name")
+    return resolve.lookup(names, "n_name", spark.createDataFrame(DICTIONARY, "key string, canonical string"))
+
+
+@query
+def label_classify(spark, sf_dir):
+    return binding.table(spark, sf_dir, "part").select("p_partkey", resolve.classify_label(F.concat(F.col("p_name"), F.lit(" "), F.when(F.col("p_size") % 3 == 0, "Home Goals O/U").when(F.col("p_size") % 3 == 1, "Match Winner").otherwise("Total Cards"))).alias("family"))
+
+
+@query
+def line_mode(spark, sf_dir):
+    return resolve.modal(binding.table(spark, sf_dir, "lineitem"), ["l_partkey"], "l_quantity", ["l_orderkey", "l_linenumber"])
+
+
+@query
+def wire_flatten(spark, sf_dir):
+    rows = wire.flatten(_payloads(spark, sf_dir))
+    return rows.groupBy("key", F.coalesce("skip", F.lit("valid")).alias("skip")).agg(F.count("*").alias("outcomes"))
+
+
+def _payloads(spark, sf_dir):
+    """A JSON payload per order, as a provider would send it."""
+    o = binding.table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    outcome = lambda name, price, point: F.struct(F.lit(name).alias("name"), price.cast("double").alias("price"), point.cast("double").alias("point"))
+    point = F.when(k % 5 == 0, F.lit(2.5))
+    markets = F.array(
+        F.struct(F.lit("totals").alias("key"), F.when(k % 7 != 0, "2024-01-01T00:00:00Z").alias("last_update"), F.array(outcome("Over 2.5", 1 + (k % 4) / 2, point), outcome("Under", F.lit(1.9), point)).alias("outcomes")),
+        F.struct(F.when(k % 2 == 0, "h2h").otherwise("specials").alias("key"), F.lit(None).cast("string").alias("last_update"), F.array(outcome("Home", F.lit(2.1), F.lit(None))).alias("outcomes")),
+    )
+    book = F.struct(F.concat(F.lit("book"), k % 3).alias("key"), F.when(k % 3 != 0, "2024-01-01T00:00:00Z").alias("last_update"), markets.alias("markets"))
+    event = F.struct(k.cast("string").alias("id"), F.lit("2024-02-01T12:00:00Z").alias("commence_time"), F.lit("A").alias("home_team"), F.when(k % 50 == 0, "A").otherwise("B").alias("away_team"), F.array(book).alias("bookmakers"))
+    return o.select(F.to_json(F.array(event)).alias("body"))
+
+
+@query
+def canonical_validate(spark, sf_dir):
+    rows = wire.canonical(wire.flatten(_payloads(spark, sf_dir)), "2023-12-31T00:00:00Z")
+    return rows.select("selection_id", "family", "price", F.unix_millis("source_at").alias("source_ms"))
+
+
+@query
+def market_reconcile_remap(spark, sf_dir):
+    """Selections per surviving market after every quote of a selection is folded into its first."""
+    q = binding.quotes(spark, sf_dir)
+    folded = resolve.fold_markets(q, ["event", "slot"], ["observed_ms", "leg_id"], "leg_id")
+    return q.join(folded, "leg_id").groupBy(F.col("winner").alias("market")).agg(F.count("*").alias("selections"), F.max("odds").alias("best"))
+
+
+@query
+def stake_rescale(spark, sf_dir):
+    o = binding.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("total"), F.count("*").alias("legs"))
+    own = binding.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax").join(o, "l_orderkey")
+    share = F.when(F.col("total") > 0, F.col("l_quantity") / F.col("total")).otherwise(1 / F.col("legs"))
+    return own.select("l_orderkey", (250 * share * (1 + F.col("l_tax"))).alias("returned")).groupBy("l_orderkey").agg(F.round(F.min("returned"), 3).alias("least"), F.count("*").alias("legs"))
+
+
+@query
+def bookmaker_grid(spark, sf_dir):
+    q = binding.quotes(spark, sf_dir)
+    best = q.groupBy("event", "slot").agg(F.max("odds").alias("best"), F.count("*").alias("cells"))
+    joined = q.join(best, ["event", "slot"])
+    return joined.groupBy("event", "slot").agg(F.max("cells").alias("cells"), F.count_if((F.col("cells") > 1) & (F.col("odds") == F.col("best"))).alias("flagged"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Cross-book Over/Under 2.5 complements that guarantee a profit, the best first."""
+    total = 1 / F.col("odds_a") + 1 / F.col("odds_b")
+    rows = _pairs(spark, sf_dir).where("slot_a = 0 and slot_b = 1").where((total < 1) & (F.col("book_a") != F.col("book_b")))
+    stakes = [F.round(100 / F.col(f"odds_{x}") / total, 6).alias(f"stake_{x}") for x in "ab"]
+    return rows.select("event", "book_a", "odds_a", "book_b", "odds_b", *stakes, F.round(1 / total - 1, 6).alias("roi")).orderBy(F.col("roi").desc(), "event")
+
+
+_QUERIES["guaranteed_over_under"] = flagship
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracles.SQL.items() if k in _QUERIES}
