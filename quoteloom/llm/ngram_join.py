@@ -169,20 +169,20 @@ class NgramJoin:
             raise ValueError("shingles have one word at least; the similarity is 50 to 100 per cent")
         doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
         #: key: by it a text is found again; documents may share one, so set ids are compared as well.
-        self.docs = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text)).alias("key"), text.alias("text"))
+        self.docs = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text)).alias("key"), F.xxhash64(text).alias("text_key"), text.alias("text"))
         self.size, self.percent = size, percent
 
     def profile(self) -> DataFrame:
-        """doc_id, key, n_shingles, node (null without shingles), sketch."""
+        """doc_id, key, text_key, n_shingles, node (null without shingles), sketch."""
         size = self.size
 
         def run(batches):
             for piece, row, h, edge in sets_of(batches, size):
                 n = np.diff(edge)
                 counts = sketches(h, row, piece.num_rows)
-                yield pa.RecordBatch.from_arrays([piece["doc_id"], piece["key"], pa.array(n), pa.array(set_id(h, edge), mask=n == 0), pa.array([x.tobytes() for x in counts], pa.binary())], ["doc_id", "key", "n_shingles", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([piece["doc_id"], piece["key"], piece["text_key"], pa.array(n), pa.array(set_id(h, edge), mask=n == 0), pa.array([x.tobytes() for x in counts], pa.binary())], ["doc_id", "key", "text_key", "n_shingles", "node", "sketch"])
 
-        return self.docs.mapInArrow(run, "doc_id long, key long, n_shingles long, node long, sketch binary")
+        return self.docs.mapInArrow(run, "doc_id long, key long, text_key long, n_shingles long, node long, sketch binary")
 
     def hot_bitmap(self) -> np.ndarray:
         """The bitmap of hot shingles: fixed in size, whatever the corpus."""
@@ -365,3 +365,25 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataF
     several = named.where(F.col("part").isNotNull()).groupBy("part").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     names = store.keep(several, "ngram-names")
     return named.join(names, "part", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """``docs`` with one document of each component, that with the smallest id (and text hash); all columns stay.
+
+    Rows without words stay. A document without an id stands for its component only if no other has one; of rows equal
+    in id and text one stays.
+    """
+    job = NgramJoin(docs, size, percent)
+    profile = store.keep(job.profile(), "ngram-profile")
+    labels = job.components(profile)
+    named = profile.where("node is not null").select("doc_id", "key", "text_key", "node").join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
+    own = F.min(F.struct(F.col("doc_id").isNull(), F.col("key").alias("own_key"), F.col("text_key").alias("own_text"))).alias("own")
+    groups = store.keep(named.groupBy("part").agg(own, F.count("*").alias("rows")).where("rows > 1").select("part", "own.own_key", "own.own_text"), "ngram-groups")
+    ids = [F.col("key").alias("_key"), F.col("text_key").alias("_text")]
+    dropped = store.keep(named.join(groups, "part").where("key <> own_key or text_key <> own_text").select(*ids).distinct(), "ngram-dropped")
+    twice = store.keep(named.groupBy("key", "text_key").agg(F.count("*").alias("rows")).where("rows > 1").select(*ids), "ngram-twice")
+    text = F.xxhash64(F.col("text").cast("string"))
+    left = store.without(docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), text)).withColumn("_text", text), dropped, "_key", "_text")
+    if twice.limit(1).count():
+        left = store.without(left, twice, "_key", "_text").unionByName(store.only(left, twice, "_key", "_text").dropDuplicates(["_key", "_text"]))
+    return left.select(docs.columns)

@@ -90,8 +90,13 @@ def read_bytes(uri: str):
 BROADCAST_IDS = 1_000_000
 
 
-def only(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of ``df`` whose ``key`` is in ``ids``: a broadcast after a count of the ids, else a shuffled semi join."""
+def only(df: DataFrame, ids: DataFrame, *keys: str, how: str = "left_semi") -> DataFrame:
+    """The rows of ``df`` whose ``keys`` are in ``ids``: a broadcast after a count of the ids, else a shuffled semi join."""
     from pyspark.sql import functions as F
 
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, list(keys), how)
+
+
+def without(df: DataFrame, ids: DataFrame, *keys: str) -> DataFrame:
+    """The rows of ``df`` whose ``keys`` are not in ``ids``."""
+    return only(df, ids, *keys, how="left_anti")

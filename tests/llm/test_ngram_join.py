@@ -88,6 +88,19 @@ def test_sets_that_fail_to_allocate(spark, monkeypatch):
     assert sorted(map(tuple, ngram_components(frame).collect()), key=repr) == brute(docs)
 
 
+def test_keep_one(spark):
+    docs = [d for d in corpus(9, 60) if d[0] is not None][:-1]
+    frame = spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, key long")
+    kept = sorted((r["doc_id"], r["text"]) for r in ngram_join.keep_one(frame.where("text is not null")).collect())
+    names = {(r[0], r[1]): r[2] for r in brute(docs)}
+    want = {d for d in docs if d[1] is not None and (not shingles(d[1]) or names[d[0], len(shingles(d[1]))] == d[0])}
+    assert kept == sorted(want)
+    odd = [(None, "a b"), (None, "A B"), (None, "c d"), (7, "a b"), (7, "x y"), (8, None), (8, None)]
+    rows = ngram_join.keep_one(spark.createDataFrame(odd, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted([(None, "c d"), (7, "a b"), (7, "x y"), (8, None), (8, None)], key=repr)
+    assert ngram_join.keep_one(frame.limit(0)).collect() == []
+
+
 def test_empty(spark):
     assert ngram_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
