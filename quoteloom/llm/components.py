@@ -42,7 +42,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def components_by_keys(keys: DataFrame, verify, also: DataFrame | None = None, wide_pairs=None) -> DataFrame:
     """node, label: components of the pairs of nodes that share a key and pass ``verify``; no pair is missed.
 
-    keys: k, node, without repeated rows. verify: DataFrame (a, b) of pairs to a DataFrame (a, b) of those that link.
+    keys: k, node, n (how many nodes the key has), without repeated rows. verify: DataFrame (a, b) of pairs to a DataFrame (a, b) of those that link.
     also: further pairs (a, b), a < b, to verify. wide_pairs: how keys of more than WIDE nodes are searched, from a
     DataFrame (node, label, centre) to pairs (a, b), a < b; without it they are searched as the others are.
 
@@ -52,10 +52,9 @@ def components_by_keys(keys: DataFrame, verify, also: DataFrame | None = None, w
     written out.
     """
     same_key = Window.partitionBy("k")
-    counted = keys.select("k", "node", F.count("*").over(same_key).alias("n"))
-    weights = keep(counted.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    weights = keep(keys.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
     centre = F.max(F.struct("weight", "node")).over(same_key)["node"]
-    centred = keep(keys.join(weights, "node").select("k", "node", centre.alias("centre"), F.count("*").over(same_key).alias("n")), "centres")
+    centred = keep(keys.join(weights, "node").select("k", "node", "n", centre.alias("centre")), "centres")
     star = centred.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     star = keep(star, "star")
     links = verify(star)

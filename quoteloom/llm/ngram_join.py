@@ -218,7 +218,7 @@ class NgramJoin:
         return out.view(np.uint8)
 
     def index(self) -> tuple[DataFrame, DataFrame]:
-        """(key, node) of the keys that several nodes have; (key, node) of the sets that need the join by shingles."""
+        """(k, node, n: nodes of the key) of the keys that several nodes have; (node) of the sets that need the join by shingles."""
         size, percent = self.size, self.percent
         shared = self.docs.sparkSession.sparkContext.broadcast(self.hot_bitmap())
 
@@ -231,8 +231,9 @@ class NgramJoin:
         rows = self.docs.select("text").mapInArrow(run, "k long, node long, failed boolean")
         same = Window.partitionBy("k")
         live = rows.select("*", (F.min("node").over(same) != F.max("node").over(same)).alias("live")).where("live or failed")
-        kept = store.keep(live.groupBy("k", "node", "failed").agg(F.lit(1).alias("one")).drop("one"), "ngram-keys")
-        return kept.where("not failed").select("k", "node"), kept.where("failed").select("node").distinct()
+        kept = live.groupBy("k", "node", "failed").agg(F.lit(1).alias("one")).select("k", "node", "failed", F.count("*").over(same).alias("n"))
+        kept = store.keep(kept, "ngram-keys")
+        return kept.where("not failed").select("k", "node", "n"), kept.where("failed").select("node").distinct()
 
     def shingle_pairs(self, nodes: DataFrame) -> DataFrame:
         """a, b: pairs of one of ``nodes`` with any set that shares a shingle; for the few sets that fail to allocate."""
@@ -249,17 +250,16 @@ class NgramJoin:
     def members(self, nodes: DataFrame, sets: DataFrame) -> DataFrame:
         """node, members (the sorted hashes of its set, as bytes) of ``nodes``, from the texts."""
         size = self.size
-        found = store.keep(sets.join(nodes, "node", "left_semi").select("node", "key"), "ngram-nodes")
-        texts = store.only(self.docs.select("key", "text"), found.select("key"), "key").join(found, "key").select("node", "text")
+        found = store.keep(sets.join(nodes, "node", "left_semi").select("node", "key", "text_key"), "ngram-nodes")
+        own = store.only(self.docs.select("key", "text_key", "text"), found.select("key", "text_key"), "key", "text_key")
+        texts = own.join(found, ["key", "text_key"]).dropDuplicates(["key", "text_key"]).select("node", "text")
 
-        def own(batches):
-            for batch in batches:
-                for piece, _, h, edge in sets_of([batch], size):
-                    nodes = piece["node"].to_numpy()
-                    same = np.flatnonzero(set_id(h, edge) == nodes)  # not another text of the same key
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[same]), pa.array([h[edge[i] : edge[i + 1]].tobytes() for i in same], pa.binary())], ["node", "members"])
+        def run(batches):
+            for piece, _, h, edge in sets_of(batches, size):
+                parts = [h[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([piece["node"], pa.array(parts, pa.binary())], ["node", "members"])
 
-        out = store.keep(texts.mapInArrow(own, "node long, members binary").dropDuplicates(["node"]), "ngram-members")
+        out = store.keep(texts.mapInArrow(run, "node long, members binary"), "ngram-members")
         store.discard(found)
         return out
 
@@ -313,7 +313,7 @@ class NgramJoin:
         return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
     def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """a, b: the pairs (a, b) of nodes whose sets link. sets: node, key, n_shingles, sketch."""
+        """a, b: the pairs (a, b) of nodes whose sets link. sets: node, key, text_key, n_shingles, sketch."""
         percent = self.percent
 
         def near(batches):
@@ -326,9 +326,11 @@ class NgramJoin:
                 good = (100 + percent) * np.abs(x - y).sum(axis=1, dtype=np.int64) <= (100 - percent) * n
                 yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(good)), batch["b"].filter(pa.array(good))], ["a", "b"])
 
-        side = lambda x: sets.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+        size = lambda x: sets.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"))
+        side = lambda x: sets.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"))
         fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-        close = store.keep(pairs.join(side("a"), "a").join(side("b"), "b").where(fits).mapInArrow(near, "a long, b long"), "ngram-close")
+        fit = pairs.join(size("a"), "a").join(size("b"), "b").where(fits)
+        close = store.keep(fit.join(side("a"), "a").join(side("b"), "b").mapInArrow(near, "a long, b long"), "ngram-close")
         members = self.members(close.select(F.col("a").alias("node")).union(close.select("b")).distinct(), sets)
 
         def exact(batches):
@@ -347,7 +349,7 @@ class NgramJoin:
 
     def components(self, profile: DataFrame) -> DataFrame:
         """node, label: the components of linked nodes; nodes without links are left out."""
-        nodes = profile.where(F.col("node").isNotNull()).groupBy("node").agg(F.min_by(F.struct("key", "n_shingles", "sketch"), "key").alias("own"))
+        nodes = profile.where(F.col("node").isNotNull()).groupBy("node").agg(F.min_by(F.struct("key", "text_key", "n_shingles", "sketch"), F.struct("key", "text_key")).alias("own"))
         sets = store.keep(nodes.select("node", "own.*"), "ngram-sets")
         keys, failed = self.index()
         also = self.shingle_pairs(failed) if failed.limit(1).count() else None
