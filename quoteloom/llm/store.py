@@ -28,13 +28,22 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/quoteloom/{label}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and returns a reader of that table.
 
-    This cuts the lineage: a lost executor costs the tasks it ran, never the table.
+    This cuts the lineage: a lost executor costs the tasks it ran, never the table. The shuffle files of the write are
+    of no use once the table is whole, so Spark is told to remove them then, not when the driver collects garbage.
     """
-    path = fresh_path(df.sparkSession, label)
-    df.write.option("compression", compression).parquet(path)
+    path, conf = fresh_path(df.sparkSession, label), df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._quoteloom_path = path
     return out
