@@ -353,6 +353,13 @@ def market_fold(spark, sf_dir):
 
 @query
 def event_match(spark, sf_dir):
+    e = binding.provider_events(spark, sf_dir)
+    return resolve.match_events(e.where("provider = 1"), e.where("provider = 0"), far=False)
+
+
+@query
+def event_match_all(spark, sf_dir):
+    """As ``event_match``, whose SQL looks into two buckets only, but with all stored events and all probes."""
     e = binding.provider_events(spark, sf_dir)
     return resolve.match_events(e.where("provider = 1"), e.where("provider = 0"))
 
