@@ -25,51 +25,87 @@ def page(df: DataFrame, order: str, row_id: str, limit: int, after: tuple | None
     return df.orderBy(*by).limit(limit + 1)
 
 
+def folded(rows: DataFrame, keys: list[str], order: list[str], step, schema: str) -> DataFrame:
+    """What ``step(state, row)`` gives for the rows of each key in order: it returns (state, tuple or None), from state None on.
+
+    Rows come sorted, in batches, and only the state goes from one to the next, so a key may have any number of them.
+    ``schema`` names the columns of the tuples.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, state = None, None
+        for batch in batches:
+            out = []
+            columns = [batch.column(c).to_pylist() for c in [*keys, *order]]
+            for row in zip(*columns):
+                if key != row[: len(keys)]:
+                    key, state = row[: len(keys)], None
+                state, found = step(state, row)
+                if found is not None:
+                    out.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    types = [to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)]
+    return rows.select(*keys, *order).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def alert_events(runs: DataFrame, hysteresis: int = 1, renotify_ms: int = 1_800_000, least: int = 1) -> DataFrame:
     """Firing and resolved events of each source's runs in order: the alert state machine as an ordered fold.
 
-    Severity is 1 for DEGRADED and 2 for DOWN; below ``least`` nothing is told. A source's runs are folded in the order
-    of time; each source is one key, so history is to be cut by day before it grows beyond a task.
+    Severity is 1 for DEGRADED and 2 for DOWN; below ``least`` nothing is told. A healthy run resets the state, so each
+    stretch of bad runs is folded on its own, with the healthy run that ends it.
     """
-    own = F.struct("started_ms", "run_id", F.when(F.col("status") == "DOWN", 2).when(F.col("status") == "DEGRADED", 1).otherwise(0).alias("level"))
-    start = F.struct(
-        F.lit(0).alias("streak"), F.lit(False).alias("active"), F.lit(False).alias("told"), F.lit(0).alias("severity"), F.lit(0).cast("long").alias("at"),
-        F.array().cast("array<struct<run_id:bigint,kind:string,severity:int>>").alias("out"),
-    )
-
-    def step(a: Column, x: Column) -> Column:
-        bad = x["level"] > 0
-        streak = F.when(bad, a["streak"] + 1).otherwise(0)
-        fires = bad & (streak >= max(1, hysteresis))
-        heard = x["level"] >= least
-        due = ~a["told"] | (F.lit(renotify_ms > 0) & (x["started_ms"] - a["at"] >= renotify_ms)) | (x["level"] > a["severity"])
-        tells = fires & heard & (~a["active"] | due)
-        resolves = ~fires & a["active"] & a["told"]
-        event = F.struct(x["run_id"].alias("run_id"), F.when(tells, "FIRING").otherwise("RESOLVED").alias("kind"), x["level"].alias("severity"))
-        keeps = fires & ~tells & a["active"]
-        return F.struct(
-            streak.alias("streak"), fires.alias("active"), (tells | (keeps & a["told"])).alias("told"),
-            F.when(tells, x["level"]).when(keeps, a["severity"]).otherwise(0).alias("severity"), F.when(tells, x["started_ms"]).when(keeps, a["at"]).otherwise(F.lit(0).cast("long")).alias("at"),
-            F.when(tells | resolves, F.concat(a["out"], F.array(event))).otherwise(a["out"]).alias("out"),
-        )
-
-    folded = runs.groupBy("source").agg(F.array_sort(F.collect_list(own)).alias("list")).select("source", F.aggregate("list", start, step)["out"].alias("out"))
-    return folded.select("source", F.explode("out").alias("e")).select("source", "e.*")
+    level = F.when(F.col("status") == "DOWN", 2).when(F.col("status") == "DEGRADED", 1).otherwise(0)
+    order = ["started_ms", "run_id", "level"]
+    before = Window.partitionBy("source").orderBy(*order)
+    rows = runs.select("source", "started_ms", "run_id", level.alias("level"))
+    healthy = F.when(F.col("level") == 0, 1).otherwise(0)
+    rows = rows.withColumn("session", F.sum(healthy).over(before.rowsBetween(Window.unboundedPreceding, 0)) - healthy).withColumn("last", F.lag("level", 1, 0).over(before))
+    rows = rows.where("level > 0 or last > 0")
+
+    def step(state, row):
+        source, _, at, run_id, level = row
+        streak, active, told, severity, told_at = state or (0, False, False, 0, 0)
+        streak = streak + 1 if level > 0 else 0
+        fires = level > 0 and streak >= max(1, hysteresis)
+        late = renotify_ms > 0 and at is not None and told_at is not None and at - told_at >= renotify_ms
+        tells = fires and level >= least and (not active or not told or late or level > severity)
+        if tells:
+            return (streak, True, True, level, at), (source, run_id, "FIRING", level)
+        if fires and active:
+            return (streak, True, told, severity, told_at), None
+        return (streak, fires, False, 0, 0), (source, run_id, "RESOLVED", level) if active and told and not fires else None
+
+    kinds = {f.name: f.dataType.simpleString() for f in runs.schema}
+    return folded(rows, ["source", "session"], order, step, f"source {kinds['source']}, run_id {kinds['run_id']}, kind string, severity int")
 
 
 def token_bucket(requests: DataFrame, capacity: int, per_second: int) -> DataFrame:
-    """Which requests of a source a bucket lets through; tokens are counted in thousandths, so the fold is exact."""
-    full = capacity * 1000
-    start = F.struct(F.lit(full).cast("long").alias("tokens"), F.lit(None).cast("long").alias("at"), F.array().cast("array<struct<run_id:bigint,allowed:boolean>>").alias("out"))
+    """Which requests of a source a bucket lets through; tokens are counted in thousandths, so the fold is exact.
 
-    def step(a: Column, x: Column) -> Column:
-        filled = F.least(F.lit(full), a["tokens"] + F.coalesce(x["started_ms"] - a["at"], F.lit(0)) * per_second)
+    A gap that fills an empty bucket resets it, so what lies between two such gaps is folded on its own.
+    """
+    full = capacity * 1000
+    before = Window.partitionBy("source").orderBy("started_ms", "run_id")
+    gap = F.col("started_ms") - F.lag("started_ms").over(before)
+    rows = requests.select("source", "started_ms", "run_id").withColumn("refilled", F.when(gap * per_second >= full, 1).otherwise(0))
+    rows = rows.withColumn("session", F.sum("refilled").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def step(state, row):
+        source, _, at, run_id = row
+        tokens, last = state or (full, None)
+        filled = tokens if at is None or last is None else min(full, tokens + (at - last) * per_second)
         ok = filled >= 1000
-        row = F.struct(x["run_id"].alias("run_id"), ok.alias("allowed"))
-        return F.struct(F.when(ok, filled - 1000).otherwise(filled).cast("long").alias("tokens"), x["started_ms"].alias("at"), F.concat(a["out"], F.array(row)).alias("out"))
+        return (filled - 1000 if ok else filled, at), (source, run_id, ok)
 
-    listed = requests.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("started_ms", "run_id"))).alias("list"))
-    return listed.select("source", F.explode(F.aggregate("list", start, step)["out"]).alias("e")).select("source", "e.*")
+    kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
+    return folded(rows, ["source", "session"], ["started_ms", "run_id"], step, f"source {kinds['source']}, run_id {kinds['run_id']}, allowed boolean")
 
 
 def health(status: Column, age_ms: Column, stale_ms: int) -> Column:
