@@ -1,8 +1,8 @@
 """Where jobs keep what several stages share: tables and plain binary files.
 
 Everything goes below ``spark.checkpoint.dir``, the one folder that the driver and all executors see.
-The setting is read from the session; only where a session has none (tests, a laptop) is a temporary
-folder made and set.
+The setting is read from the session. Where a session has none, a local one (tests, a laptop) gets a temporary
+folder; any other uses the warehouse, which all machines of a cluster see.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,7 +19,10 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quoteloom-")
+        if context.master.startswith("local"):
+            found = "file://" + tempfile.mkdtemp(prefix="quoteloom-")
+        else:
+            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
         context.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -35,15 +39,11 @@ def keep(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and returns a reader of that table.
 
     This cuts the lineage: a lost executor costs the tasks it ran, never the table. The shuffle files of the write are
-    of no use once the table is whole, so Spark is told to remove them then, not when the driver collects garbage.
+    of no use once the table is whole, so this session is told to remove them then, not when the driver collects garbage.
     """
-    path, conf = fresh_path(df.sparkSession, label), df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", compression).parquet(path)
-    finally:
-        conf.set(CLEANUP, before)
+    path = fresh_path(df.sparkSession, label)
+    df.sparkSession.conf.set(CLEANUP, "true")
+    df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._quoteloom_path = path
     return out
@@ -95,17 +95,43 @@ def read_bytes(uri: str):
         return f.read_buffer()
 
 
-#: Ids up to this many are broadcast: at 16 bytes each in a task, 16 MB.
-BROADCAST_IDS = 1_000_000
+class Scratch:
+    """Tables that one job shares between its steps: ``keep`` as above, ``clear`` when the result is written."""
 
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
 
-def only(df: DataFrame, ids: DataFrame, *keys: str, how: str = "left_semi") -> DataFrame:
-    """The rows of ``df`` whose ``keys`` are in ``ids``: a broadcast after a count of the ids, else a shuffled semi join."""
-    from pyspark.sql import functions as F
+    def keep(self, df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+        self.tables.append(keep(df, label, compression))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        discard(*self.tables)
+        self.tables.clear()
+
+
+#: A side of a join is broadcast if its rows are counted and take no more than this in a task.
+BROADCAST_BYTES = 32 << 20
+
+
+def row_bytes(df: DataFrame) -> int:
+    """What a row of fixed-size columns takes in a broadcast hash table; strings and arrays count as 64 bytes more."""
+    return 48 + sum(8 if f.dataType.typeName() in ("long", "integer", "double", "boolean", "date", "timestamp") else 72 for f in df.schema.fields)
 
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, list(keys), how)
+
+def matching(df: DataFrame, ids: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """``df`` joined with ``ids`` on ``keys``: by broadcast if the counted ids are small enough, else by a shuffle.
+
+    The shuffled join sorts, so adaptive execution can split a key with very many rows.
+    """
+    return df.join(F.broadcast(ids) if ids.count() * row_bytes(ids) <= BROADCAST_BYTES else ids.hint("merge"), list(keys), how)
+
+
+def only(df: DataFrame, ids: DataFrame, *keys: str, how: str = "left_semi") -> DataFrame:
+    """The rows of ``df`` whose ``keys`` are in ``ids``."""
+    return matching(df, ids, *keys, how=how)
 
 
 def without(df: DataFrame, ids: DataFrame, *keys: str) -> DataFrame:
     """The rows of ``df`` whose ``keys`` are not in ``ids``."""
-    return only(df, ids, *keys, how="left_anti")
+    return matching(df, ids, *keys, how="left_anti")
