@@ -53,6 +53,8 @@ def discard(*tables: DataFrame) -> None:
     """Removes tables that ``keep`` wrote and that no later plan reads."""
     for table in tables:
         path = getattr(table, "_quoteloom_path", None)
+        if hasattr(table, "_quoteloom_table"):
+            table.sparkSession.sql(f"DROP TABLE IF EXISTS {table._quoteloom_table}")
         if path:
             jvm = table.sparkSession._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
@@ -105,6 +107,18 @@ class Scratch:
         self.tables.append(keep(df, label, compression))
         return self.tables[-1]
 
+    def bucketed(self, df: DataFrame, key: str, label: str) -> DataFrame:
+        """As ``keep``, with the table's files dealt by ``key``, so that later steps aggregate by it without a shuffle."""
+        spark = df.sparkSession
+        spark.conf.set(CLEANUP, "true")
+        path, name = fresh_path(spark, label), f"quoteloom_{label}_{uuid.uuid4().hex}"
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(buckets, key).option("path", path).option("compression", "lz4").format("parquet").saveAsTable(name)
+        out = spark.table(name)
+        out._quoteloom_path, out._quoteloom_table = path, name
+        self.tables.append(out)
+        return out
+
     def clear(self) -> None:
         discard(*self.tables)
         self.tables.clear()
