@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .store import discard, keep
 
@@ -46,22 +45,38 @@ def components_by_keys(keys: DataFrame, verify, also: DataFrame | None = None, w
     also: further pairs (a, b), a < b, to verify. wide_pairs: how keys of more than WIDE nodes are searched, from a
     DataFrame (node, label, centre) to pairs (a, b), a < b; without it they are searched as the others are.
 
-    First every node of a key is held against the key's centre: the node whose keys have the most nodes in all, so
-    of copies with different changes the original. Then, in keys whose nodes are still in different components, all
-    pairs of nodes of different components are. So the pairs within a component that its keys share are never
-    written out.
+    First every node is held against one centre: of the nodes that it shares a key with and that are the heaviest of that
+    key, the one whose keys have the most nodes in all, so of copies with different changes the original. These are no
+    more pairs than nodes. Then it is held against the centres of its other keys that are in other components, and at last,
+    in keys whose nodes are still in different components, all pairs of nodes of different components are. So the pairs
+    within a component that its keys share are never written out.
     """
-    same_key = Window.partitionBy("k")
     weights = keep(keys.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
-    centre = F.max(F.struct("weight", "node")).over(same_key)["node"]
-    centred = keep(keys.join(weights, "node").select("k", "node", "n", centre.alias("centre")), "centres")
-    star = centred.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    star = keep(star, "star")
+    weighted = keep(keys.join(weights, "node"), "weighted")
+    centres = weighted.groupBy("k").agg(F.max(F.struct("weight", "node")).alias("top"))
+    centred = keep(weighted.join(centres, "k").select("k", "node", "n", F.col("top.node").alias("centre"), F.col("top.weight").alias("of")), "centres")
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    best = centred.where("node <> centre").groupBy("node").agg(F.max(F.struct("of", "centre"))["centre"].alias("centre"))
+    star = keep(best.select(*pair("node", "centre")).distinct(), "star")
     links = verify(star)
     labels = connected_components(links)
-    labelled = centred.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = F.min("label").over(same_key) != F.max("label").over(same_key)
-    rest = keep(labelled.select("*", mixed.alias("mixed")).where("mixed").drop("mixed"), "open-keys")
+
+    def labelled(rows: DataFrame, *names: str) -> DataFrame:
+        for name in names:
+            found = labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
+            rows = rows.join(found, name, "left").withColumn(f"{name}_label", F.coalesce(f"{name}_label", name))
+        return rows
+
+    others = centred.where("node <> centre").select("node", "centre").distinct()
+    others = labelled(others, "node", "centre").where("node_label <> centre_label").select(*pair("node", "centre")).distinct()
+    second = keep(others.join(star, ["a", "b"], "left_anti"), "star")
+    links = links.union(verify(second))
+    discard(labels)
+    labels = connected_components(links)
+    tried = star.union(second)
+    named = keep(labelled(centred, "node").withColumnRenamed("node_label", "label"), "labelled")
+    mixed = named.groupBy("k").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last").select("k")
+    rest = keep(named.join(mixed, "k"), "open-keys")
     narrow = rest.where(F.col("n") <= WIDE) if wide_pairs else rest
     pairs = narrow.alias("x").join(narrow.alias("y"), F.expr("x.k = y.k and x.node < y.node and x.label <> y.label"))
     pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
@@ -69,7 +84,7 @@ def components_by_keys(keys: DataFrame, verify, also: DataFrame | None = None, w
         pairs = pairs.union(wide_pairs(rest.where(F.col("n") > WIDE).select("node", "label", "centre").distinct())).distinct()
     if also is not None:
         pairs = pairs.union(also).distinct()
-    more = verify(pairs.join(star, ["a", "b"], "left_anti"))
+    more = verify(pairs.join(tried, ["a", "b"], "left_anti"))
     out = connected_components(links.union(more))
-    discard(labels, rest, star, weights, centred)
+    discard(labels, rest, named, star, second, weights, weighted, centred)
     return out

@@ -381,11 +381,13 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     named = profile.where("node is not null").select("doc_id", "key", "text_key", "node").join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
     own = F.min(F.struct(F.col("doc_id").isNull(), F.col("key").alias("own_key"), F.col("text_key").alias("own_text"))).alias("own")
     groups = store.keep(named.groupBy("part").agg(own, F.count("*").alias("rows")).where("rows > 1").select("part", "own.own_key", "own.own_text"), "ngram-groups")
-    ids = [F.col("key").alias("_key"), F.col("text_key").alias("_text")]
-    dropped = store.keep(named.join(groups, "part").where("key <> own_key or text_key <> own_text").select(*ids).distinct(), "ngram-dropped")
+    ids = [F.col("key").alias("own_key"), F.col("text_key").alias("own_text")]
+    dropped = store.keep(named.join(groups, "part").where("key <> own_key or text_key <> own_text").select("key", "text_key").distinct().select(*ids), "ngram-dropped")
     twice = store.keep(named.groupBy("key", "text_key").agg(F.count("*").alias("rows")).where("rows > 1").select(*ids), "ngram-twice")
-    text = F.xxhash64(F.col("text").cast("string"))
-    left = store.without(docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), text)).withColumn("_text", text), dropped, "_key", "_text")
+    # the caller's columns are packed, so that no name of theirs meets one of these
+    text = F.xxhash64(F.col("row.text").cast("string"))
+    left = docs.select(F.struct(*docs.columns).alias("row")).withColumn("own_key", F.coalesce(F.col("row.doc_id").cast("long"), text)).withColumn("own_text", text)
+    left = store.without(left, dropped, "own_key", "own_text")
     if twice.limit(1).count():
-        left = store.without(left, twice, "_key", "_text").unionByName(store.only(left, twice, "_key", "_text").dropDuplicates(["_key", "_text"]))
-    return left.select(docs.columns)
+        left = store.without(left, twice, "own_key", "own_text").unionByName(store.only(left, twice, "own_key", "own_text").dropDuplicates(["own_key", "own_text"]))
+    return left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
