@@ -234,7 +234,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    spread_out = manifest.select("path", "base").repartition(F.col("path"))
+    # a given number of partitions is not coalesced, however small the manifest is
+    spread_out = manifest.select("path", "base").repartition(max(1, manifest.count()), "path")
     return spread_out.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -175,7 +175,7 @@ def plan_records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     repeated = store.keep(groups.where((F.col("copies") > 1) & F.col("response").isNotNull()).select(F.col("digest").alias("key"), "response"), "warc-copies")
     # Small payloads match nothing; a key of their own spreads them over the partitions.
     own = own.withColumn("key", F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id"), F.lit(0)))))
-    refers = F.when(F.col("response") != F.coalesce(F.col("page_id"), F.col("response") - 1), F.col("response"))
+    refers = F.when(F.col("page_id").isNull() | (F.col("response") != F.col("page_id")), F.col("response"))
     return own.join(repeated, "key", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
 
@@ -217,4 +217,5 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if seen != expected:
                     raise BadArchive(f"{path}: {seen} records, {expected} were written")
 
-    return manifest.repartition(F.col("path")).mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # a given number of partitions is not coalesced, however small the manifest is
+    return manifest.repartition(max(1, manifest.count()), "path").mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
