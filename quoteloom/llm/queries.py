@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = tool_calls.from_conversations(table(spark, sf_dir, "conversations"))
-    return tool_calls.link(calls, results, tool_calls.ASK)
+    return tool_calls.ordered(tool_calls.link(calls, results, tool_calls.ASK, scope="conversation"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import json
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
@@ -127,11 +127,29 @@ def depths(calls: DataFrame) -> DataFrame:
     return state.select("call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def scoped(id_column: str) -> Column:
+    """An id that is one of its conversation only, with the conversation's number before it."""
+    return F.when(F.col(id_column).isNotNull(), F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.lit(":"), F.col(id_column)))
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """The rows of ``link`` by conversation, each call after those it depends on; calls in or below a cycle come last."""
+    return rows.orderBy("conv_id", F.col("depth").asc_nulls_last(), "turn", "call_id")
+
+
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], scope: str = "corpus") -> DataFrame:
     """conv_id, call_id, turn, name, depth, status, copies, valid, json.
 
+    scope: ``corpus`` if an id names one call wherever it occurs, ``conversation`` if conversations number their calls
+    alike; then only calls and results of one conversation meet, those without a conversation being one.
+
     calls: conv_id, call_id, turn, name, arguments (JSON), parent; results: conv_id, call_id, turn, content.
     """
+    if scope not in ("corpus", "conversation"):
+        raise ValueError(f"scope is corpus or conversation, not {scope}")
+    if scope == "conversation":
+        calls = calls.withColumn("parent", scoped("parent")).withColumn("call_id", scoped("call_id"))
+        results = results.withColumn("call_id", scoped("call_id"))
     call = F.struct("turn", "name", "arguments", "parent", "conv_id")
     named = calls.where("call_id is not null").groupBy("call_id").agg(F.min(call).alias("c"), F.count("*").alias("copies"))
     named = store.keep(named.select("call_id", "c.*", "copies"), "calls")
@@ -158,7 +176,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
             keep = [batch[c] for c in ("conv_id", "call_id", "turn", "name", "depth", "status", "copies")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(valid, pa.bool_()), pa.array(lines, pa.string())], ["conv_id", "call_id", "turn", "name", "depth", "status", "copies", "valid", "json"])
 
-    return rows.unionByName(rest).mapInArrow(run, "conv_id long, call_id string, turn long, name string, depth int, status string, copies long, valid boolean, json string")
+    rows = rows.unionByName(rest)
+    if scope == "conversation":
+        rows = rows.withColumn("call_id", F.expr("substring(call_id, instr(call_id, ':') + 1)"))
+    return rows.mapInArrow(run, "conv_id long, call_id string, turn long, name string, depth int, status string, copies long, valid boolean, json string")
 
 
 def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -89,3 +89,13 @@ def test_schema_and_canonical_form():
     assert faults(True, {"type": "integer"}) and not faults(2.0, {"type": "integer"})
     assert canonical({"b": [1.0, 2.5, None], "a": {"é": "\n"}}) == '{"a":{"é":"\\n"},"b":[1,2.5,null]}'
     assert parse('{"a":1e400}') == (None, False) == parse("[" * 100000)
+
+
+def test_ids_of_one_conversation(spark):
+    """Conversations that number their calls alike keep all their calls, in the order of their dependence."""
+    calls = [(c, f"call_{i}", 5 - i, "add", '{"x":%d}' % (10 * c + i), f"call_{i - 1}" if i else None, "") for c in (1, 2) for i in range(3)] + [(None, "call_0", 0, "add", "{}", None, "")]
+    results = [(c, "call_0", 9, f"r{c}", 0) for c in (1, 2)]
+    rows = tool_calls.ordered(tool_calls.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), SCHEMAS, scope="conversation")).collect()
+    assert [(r["conv_id"], r["call_id"], r["depth"], r["copies"]) for r in rows] == [(None, "call_0", 0, 1)] + [(c, f"call_{i}", i, 1) for c in (1, 2) for i in range(3)]
+    assert [json.loads(r["json"])["content"] for r in rows if r["status"] == "linked"] == ["r1", "r2"]
+    assert [json.loads(r["json"])["call_id"] for r in rows][:2] == ["call_0", "call_0"]
