@@ -31,7 +31,7 @@ it is alone (then the name is null); an empty table gives an empty result. Other
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,8 @@ BITMAP_BITS = 1 << 24
 #: many times, so that at most a sixteenth of the bitmap's bits are set.
 LOCAL, HOT, FLUSH = 2, 16, 6_000_000
 SKETCH = 192
+#: The keys are shuffled in so many turns, each written before the next, so the shuffle takes that much less disk.
+TURNS = 2
 #: Sets with this share of shingles that are not hot should never walk to the hot segments.
 COLD = 0.45
 
@@ -218,21 +220,32 @@ class NgramJoin:
         return out.view(np.uint8)
 
     def index(self) -> tuple[DataFrame, DataFrame]:
-        """(k, node, n: nodes of the key) of the keys that several nodes have; (node) of the sets that need the join by shingles."""
+        """(k, node, n: nodes of the key) of the keys that several nodes have; (node) of the sets that need the join by shingles.
+
+        A key belongs to one turn by its value, so the turns cost reading the texts again, never a key.
+        """
         size, percent = self.size, self.percent
         shared = self.docs.sparkSession.sparkContext.broadcast(self.hot_bitmap())
 
-        def run(batches):
-            for _, row, h, edge in sets_of(batches, size):
-                keys, owner, failed = signatures(row, h, np.diff(edge), shared.value, percent)
-                nodes = set_id(h, edge)
-                yield pa.RecordBatch.from_arrays([pa.array(textscan.signed(np.concatenate([keys, np.zeros(len(failed), np.uint64)]))), pa.array(nodes[np.concatenate([owner, failed])]), pa.array(np.arange(len(keys) + len(failed)) >= len(keys))], ["k", "node", "failed"])
-
-        rows = self.docs.select("text").mapInArrow(run, "k long, node long, failed boolean")
-        same = Window.partitionBy("k")
-        live = rows.select("*", (F.min("node").over(same) != F.max("node").over(same)).alias("live")).where("live or failed")
-        kept = live.groupBy("k", "node", "failed").agg(F.lit(1).alias("one")).select("k", "node", "failed", F.count("*").over(same).alias("n"))
-        kept = store.keep(kept, "ngram-keys")
+        def keys_of(turn: int):
+            def run(batches):
+                for _, row, h, edge in sets_of(batches, size):
+                    keys, owner, failed = signatures(row, h, np.diff(edge), shared.value, percent)
+                    nodes = set_id(h, edge)
+                    mine = keys % np.uint64(TURNS) == turn
+                    keys, owner, failed = keys[mine], owner[mine], failed if turn == 0 else failed[:0]
+                    yield pa.RecordBatch.from_arrays([pa.array(textscan.signed(np.concatenate([keys, np.zeros(len(failed), np.uint64)]))), pa.array(nodes[np.concatenate([owner, failed])]), pa.array(np.arange(len(keys) + len(failed)) >= len(keys))], ["k", "node", "failed"])
+
+            return run
+
+        tables = []
+        for turn in range(TURNS):
+            rows = self.docs.select("text").mapInArrow(keys_of(turn), "k long, node long, failed boolean")
+            same = Window.partitionBy("k")
+            live = rows.select("*", (F.min("node").over(same) != F.max("node").over(same)).alias("live")).where("live or failed")
+            kept = live.groupBy("k", "node", "failed").agg(F.lit(1).alias("one")).select("k", "node", "failed", F.count("*").over(same).alias("n"))
+            tables.append(store.keep(kept, "ngram-keys"))
+        kept = reduce(DataFrame.union, tables)
         return kept.where("not failed").select("k", "node", "n"), kept.where("failed").select("node").distinct()
 
     def shingle_pairs(self, nodes: DataFrame) -> DataFrame:
