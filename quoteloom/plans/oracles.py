@@ -136,11 +136,11 @@ SQL = {
     "throttled_audit": f"WITH {_RUNS}, l AS (SELECT *, lag(started_ms) OVER (PARTITION BY source, status ORDER BY started_ms, run_id) AS p FROM r) SELECT source, status, count(*) AS kept FROM l WHERE p IS NULL OR started_ms - p >= 60000 GROUP BY ALL",
     "market_fold": f"WITH {_Q} SELECT leg_id, first_value(leg_id) OVER (PARTITION BY event, slot ORDER BY observed_ms, leg_id) AS winner, count(*) OVER (PARTITION BY event, slot) AS members, leg_id = winner AS survives FROM q",
     "market_reconcile_remap": f"WITH {_Q}, f AS (SELECT odds, first_value(leg_id) OVER (PARTITION BY event, slot ORDER BY observed_ms, leg_id) AS market FROM q) SELECT market, count(*) AS selections, max(odds) AS best FROM f GROUP BY market",
-    "event_match": f"""WITH {_PROV}, j AS (SELECT p.id, q.id AS stored_id, round(0.5 + CASE WHEN abs(p.start_ms - q.start_ms) <= 7200000 THEN 0.3 ELSE 0.0 END + CASE WHEN p.competition = q.competition THEN 0.2 ELSE -0.2 END, 3) AS score
+    "event_match": f"""WITH {_PROV}, j AS (SELECT p.id, q.id AS stored_id, round(0.5 + CASE WHEN abs(p.start_ms - q.start_ms) <= 7200000 THEN 0.3 ELSE 0.0 END + CASE WHEN p.competition IS NULL OR q.competition IS NULL THEN 0.0 WHEN p.competition = q.competition THEN 0.2 ELSE -0.2 END, 3) AS score
         FROM pe p JOIN pe q ON p.provider = 1 AND q.provider = 0 AND p.home = q.home AND p.away = q.away
         AND q.start_ms // 14400000 IN (p.start_ms // 14400000, p.start_ms // 14400000 + CASE WHEN p.start_ms % 14400000 * 2 < 14400000 THEN -1 ELSE 1 END)),
         k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, stored_id) AS n FROM j) SELECT id, stored_id, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 0.8 THEN 'confirmed' ELSE 'uncertain' END AS class FROM k WHERE n = 1""",
-    "event_match_all": f"""WITH {_PROV}, j AS (SELECT p.id, q.id AS stored_id, CASE WHEN q.id IS NULL THEN 0.0 ELSE round(0.5 + CASE WHEN abs(p.start_ms - q.start_ms) <= 7200000 THEN 0.3 ELSE 0.0 END + CASE WHEN p.competition = q.competition THEN 0.2 ELSE -0.2 END, 3) END AS score
+    "event_match_all": f"""WITH {_PROV}, j AS (SELECT p.id, q.id AS stored_id, CASE WHEN q.id IS NULL THEN 0.0 ELSE round(0.5 + CASE WHEN abs(p.start_ms - q.start_ms) <= 7200000 THEN 0.3 ELSE 0.0 END + CASE WHEN p.competition IS NULL OR q.competition IS NULL THEN 0.0 WHEN p.competition = q.competition THEN 0.2 ELSE -0.2 END, 3) END AS score
         FROM pe p LEFT JOIN pe q ON q.provider = 0 AND p.home = q.home AND p.away = q.away WHERE p.provider = 1),
         k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, stored_id) AS n FROM j) SELECT id, stored_id, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 0.8 THEN 'confirmed' WHEN stored_id IS NULL THEN 'none' ELSE 'uncertain' END AS class FROM k WHERE n = 1""",
     "dictionary_resolve": """WITH d(key, canonical) AS (VALUES ('france', 'FRANCE'), ('united states', 'UNITED STATES'), ('germany', 'DEUTSCHLAND'), ('brazil', 'BRASIL'), ('japan', 'JAPAN'))

@@ -10,8 +10,8 @@ MARKET = f"struct<key:string,last_update:string,outcomes:array<{OUTCOME}>>"
 BOOK = f"struct<key:string,title:string,last_update:string,markets:array<{MARKET}>>"
 PAYLOAD = f"array<struct<id:string,sport_key:string,commence_time:string,home_team:string,away_team:string,status:string,bookmakers:array<{BOOK}>>>"
 
-#: Provider key, family, whether a line is needed.
-KEYS = [("h2h", "MATCH_RESULT", False), ("totals", "MATCH_TOTAL", True), ("spreads", "ASIAN_HANDICAP", True), ("btts", "BTTS", False), ("double_chance", "DOUBLE_CHANCE", False)]
+#: Provider key, family, whether a line is needed. Keys without a proven settlement (``spreads``) are left out.
+KEYS = [("h2h", "MATCH_RESULT", False), ("totals", "MATCH_TOTAL", True), ("btts", "BTTS", False), ("double_chance", "DOUBLE_CHANCE", False)]
 
 
 def flatten(payloads: DataFrame) -> DataFrame:
