@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import settle as s
 from ..operators import coverage, history, ops, quotes, resolve
 from ..sources import binding, wire
-from . import oracles
+from . import oracles, records
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -446,8 +446,8 @@ _QUERIES["guaranteed_over_under"] = flagship
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | records.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracles.SQL.items() if k in _QUERIES}
+    return {k: v for k, v in oracles.SQL.items() if k in _QUERIES} | records.SQL
