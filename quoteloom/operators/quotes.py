@@ -45,21 +45,34 @@ def compatible(a: Column, b: Column) -> Column:
     return out
 
 
-def side(df: DataFrame, name: str) -> DataFrame:
-    return df.select("event", *(F.col(c).alias(f"{c}_{name}") for c in df.columns if c != "event"))
+def _beyond(slot: Column):
+    return lambda x: x["slot"] > slot
+
+
+def _combined(best: DataFrame, names: str) -> DataFrame:
+    """Sets of pairwise compatible selections of an event in slot order, one after another in ``names``.
+
+    An event has at most one best quote a slot, so its selections are gathered once and combined in place: no self-join.
+    """
+    fields = [c for c in LEG if c != "event"]
+    rows = best.groupBy("event").agg(F.collect_list(F.struct(*fields)).alias("legs"))
+    for i, name in enumerate(names):
+        last = F.col(f"{names[i - 1]}.slot")
+        later = F.filter("legs", _beyond(last)) if i else F.col("legs")
+        rows = rows.select("event", "legs", *names[:i], F.explode(later).alias(name))
+        for other in names[:i]:
+            rows = rows.where(compatible(F.col(f"{other}.family"), F.col(f"{name}.family")))
+    return rows.select("event", *(F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in names for c in fields))
 
 
 def pairs(best: DataFrame) -> DataFrame:
-    """All compatible pairs of an event's selections, a before b by slot. Both sides keep their partitioning by event."""
-    own = best.select(*LEG)
-    joined = side(own, "a").join(side(own, "b"), "event")
-    return joined.where((F.col("slot_a") < F.col("slot_b")) & compatible(F.col("family_a"), F.col("family_b")))
+    """All compatible pairs of an event's selections, a before b by slot."""
+    return _combined(best, "ab")
 
 
 def triples(best: DataFrame) -> DataFrame:
     """All pairwise compatible triples of an event's selections, in slot order."""
-    joined = pairs(best).join(side(best.select(*LEG), "c"), "event")
-    return joined.where((F.col("slot_b") < F.col("slot_c")) & compatible(F.col("family_a"), F.col("family_c")) & compatible(F.col("family_b"), F.col("family_c")))
+    return _combined(best, "abc")
 
 
 def capped(candidates: DataFrame, order: list[str], cap: int) -> DataFrame:

@@ -78,16 +78,17 @@ def complement_prefilter(spark, sf_dir):
 
 
 def _settled(spark, sf_dir, families=None, slots=None):
-    rows = binding.matches(spark, sf_dir)
+    """The results of all selections, with the number of matches (n): one row per score and status, of which there are few."""
+    rows = binding.matches(spark, sf_dir).groupBy("home", "away", "status").agg(F.count("*").alias("n"))
     dim = binding.slots(spark) if slots is None else slots
     if families:
         dim = dim.where(F.col("family").isin(*families))
-    both = rows.join(F.broadcast(dim), F.lit(True))  # every match against the few selections of the dimension
+    both = rows.withColumn("one", F.lit(1)).join(F.broadcast(dim.withColumn("one", F.lit(1))), "one")  # the selections of the dimension
     return both.withColumn("result", s.settle(F.col("family"), F.col("outcome"), F.col("participant"), F.col("line_c"), F.col("home"), F.col("away")))
 
 
 def _counted(df):
-    return df.groupBy("slot", "home", "away").agg(F.max("result").alias("result"), F.count("*").alias("matches"))
+    return df.groupBy("slot", "home", "away").agg(F.max("result").alias("result"), F.sum("n").alias("matches"))
 
 
 @query
@@ -125,13 +126,13 @@ def settle_exact(spark, sf_dir):
 @query
 def settle_void(spark, sf_dir):
     rows = _settled(spark, sf_dir).withColumn("settled", s.settle_match(F.col("status"), F.col("result")))
-    return rows.groupBy("slot", "status", "settled").agg(F.count("*").alias("matches"))
+    return rows.groupBy("slot", "status", "settled").agg(F.sum("n").alias("matches"))
 
 
 @query
 def payout(spark, sf_dir):
     rows = _settled(spark, sf_dir).where("status = 'FINISHED'")
-    return rows.groupBy("slot").agg(F.round(F.sum(s.multiplier(F.col("result"), F.col("base"))), 4).alias("returned"), F.count("*").alias("matches"))
+    return rows.groupBy("slot").agg(F.round(F.sum(s.multiplier(F.col("result"), F.col("base")) * F.col("n")), 4).alias("returned"), F.sum("n").alias("matches"))
 
 
 @query
@@ -414,8 +415,8 @@ def canonical_validate(spark, sf_dir):
 def market_reconcile_remap(spark, sf_dir):
     """Selections per surviving market after every quote of a selection is folded into its first."""
     q = binding.quotes(spark, sf_dir)
-    folded = resolve.fold_markets(q, ["event", "slot"], ["observed_ms", "leg_id"], "leg_id")
-    return q.join(folded, "leg_id").groupBy(F.col("winner").alias("market")).agg(F.count("*").alias("selections"), F.max("odds").alias("best"))
+    found = q.groupBy("event", "slot").agg(F.min_by("leg_id", F.struct("observed_ms", "leg_id")).alias("market"), F.count("*").alias("selections"), F.max("odds").alias("best"))
+    return found.drop("event", "slot")
 
 
 @query
@@ -429,9 +430,9 @@ def stake_rescale(spark, sf_dir):
 @query
 def bookmaker_grid(spark, sf_dir):
     q = binding.quotes(spark, sf_dir)
-    best = q.groupBy("event", "slot").agg(F.max("odds").alias("best"), F.count("*").alias("cells"))
-    joined = q.join(best, ["event", "slot"])
-    return joined.groupBy("event", "slot").agg(F.max("cells").alias("cells"), F.count_if((F.col("cells") > 1) & (F.col("odds") == F.col("best"))).alias("flagged"))
+    each = q.groupBy("event", "slot", "odds").agg(F.count("*").alias("n"))
+    found = each.groupBy("event", "slot").agg(F.sum("n").alias("cells"), F.max_by("n", "odds").alias("top"))
+    return found.select("event", "slot", "cells", F.when(F.col("cells") > 1, F.col("top")).otherwise(0).alias("flagged"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
