@@ -8,8 +8,8 @@ only if the words themselves are equal. The words inside any hit window are hit
 One pass over the documents: an extra probe at the end of each document always matches, so documents without hits
 come out of the same join, and one small aggregation by document follows.
 
-Defined results: null and empty texts have no words and no hits; rows equal in doc_id and text are one document;
-items with equal ids are one item; null items, and items without words, hit nothing; with an empty benchmark
+Defined results: null and empty texts have no words and no hits; rows equal in doc_id and text are found once (``scan``),
+but each has its row in the report; very long texts are cut into words whole, in one row; items with equal ids are one item; null items, and items without words, hit nothing; with an empty benchmark
 nothing is hit. Other columns are ignored (``scan``) or kept (``remove``).
 """
 
@@ -43,7 +43,7 @@ def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """doc_id, text_key, n_words, spans (array of first and past-the-end word), items (array of ids as sorted strings)."""
+    """doc_id, text_key, n_words, spans (array of first and past-the-end word), items (array of ids as sorted strings), copies (equal rows)."""
     grams = benchmark_windows(benchmark, n).withColumn("width", F.size("gram")).withColumn("h", F.xxhash64("gram"))
     sizes = {r["width"]: r["windows"] for r in grams.groupBy("width").agg(F.count("*").alias("windows")).collect()}  # at most n rows
     last = docs.sparkSession.range(1).select(F.lit(None).cast(grams.schema["item_id"].dataType).alias("item_id"), F.array().cast("array<string>").alias("gram"), F.lit(0).alias("width"), F.lit(_LAST).cast("long").alias("h"))
@@ -65,13 +65,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     if small:
         hits = probes.join(F.broadcast(grams), "h").where(found == F.col("gram"))
     else:
-        wide = probes.select("doc_id", "text_key", "n_words", "pos", "h", F.slice("words", F.col("pos") + 1, max(widths)).alias("ahead"))
-        hits = wide.join(grams, "h").where(F.slice("ahead", F.lit(1), F.col("width")) == F.col("gram"))
+        # The ends of all documents would be one hot key of a shuffled join, so they are added to its hits.
+        wide = probes.where(F.col("pos") < F.col("n_words")).select("doc_id", "text_key", "n_words", "pos", "h", F.slice("words", F.col("pos") + 1, max(widths)).alias("ahead"))
+        columns = ["doc_id", "text_key", "n_words", "pos", "width", "item_id"]
+        hits = wide.join(grams.where("width > 0"), "h").where(F.slice("ahead", F.lit(1), F.col("width")) == F.col("gram")).select(columns)
+        ends = own.select("doc_id", "text_key", "n_words", F.col("n_words").alias("pos"), F.lit(0).alias("width"), F.lit(None).cast(grams.schema["item_id"].dataType).alias("item_id"))
+        hits = hits.unionByName(ends)
     real = F.col("width") > 0
     return hits.groupBy("doc_id", "text_key").agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.array_sort(F.collect_set(F.when(real, F.struct(F.col("pos").alias("first"), (F.col("pos") + F.col("width")).alias("past"))))).alias("spans"),
         F.array_sort(F.collect_set(F.when(real, F.col("item_id").cast("string")))).alias("items"),
+        F.count_if(~real).cast("int").alias("copies"),
     )
 
 
@@ -90,10 +95,11 @@ def covered(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    n_hit = covered(F.col("spans"))
-    return scan(docs, benchmark, n).select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: a row for every row of ``docs``."""
+    n_hit = F.col("n_hit")
+    found = scan(docs, benchmark, n).withColumn("n_hit", covered(F.col("spans")))
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
     )
 
 
@@ -103,17 +109,20 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, spans: bool = Fal
     All columns and repeated rows stay; a word is cut with the separators that follow it, and ``n_chars``, if there,
     is counted anew.
     """
-    found = scan(docs, benchmark, n).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
-    same = docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_key"])
+    found = scan(docs, benchmark, n).where(F.size("spans") > 0).select(F.col("doc_id").alias("id"), "text_key", F.col("spans").alias("spans"))
+    d, f = docs.select(F.struct(*docs.columns).alias("row")).alias("d"), found.alias("f")  # callers' columns may have any names
+    doc_id, text = F.col("d.row.doc_id"), F.col("d.row.text")
+    same = doc_id.eqNullSafe(F.col("f.id")) & (F.xxhash64(text) == F.col("f.text_key"))
     if not spans:
-        return docs.join(found, same, "left_anti")
-    words = F.regexp_extract_all("text", F.lit(f"{RAW_WORD}+{RAW_SEPARATOR}*"), F.lit(0))
-    left = F.filter(words, lambda _, i: ~F.exists("_spans", lambda s: (s["first"] <= i) & (i < s["past"])))
-    cut = F.concat(F.regexp_extract("text", f"^{RAW_SEPARATOR}*", 0), F.array_join(left, ""))
-    out = docs.join(found, same, "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut))
+        return d.join(f, same, "left_anti").select("d.row.*")
+    words = F.regexp_extract_all(text, F.lit(f"{RAW_WORD}+{RAW_SEPARATOR}*"), F.lit(0))
+    left = F.filter(words, lambda _, i: ~F.exists("f.spans", lambda s: (s["first"] <= i) & (i < s["past"])))
+    cut = F.concat(F.regexp_extract(text, f"^{RAW_SEPARATOR}*", 0), F.array_join(left, ""))
+    hit = F.col("f.spans").isNotNull()
+    new = {"text": F.when(hit, cut).otherwise(text)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(docs.columns)
+        new["n_chars"] = F.when(hit, F.char_length(cut).cast("long")).otherwise(F.col("d.row.n_chars"))
+    return d.join(f, same, "left").select(*(new.get(c, F.col("d.row").getField(c)).alias(c) for c in docs.columns))
 
 
 #: The report in DuckDB.

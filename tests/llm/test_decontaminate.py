@@ -74,3 +74,19 @@ def test_remove(spark):
     for doc_id, text in docs:
         assert len(words(cut[doc_id])) == len(words(text)) - hits[doc_id]
         assert hits[doc_id] or cut[doc_id] == text
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_repeated_rows_long_texts_and_clashing_names(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+    item = " ".join(f"w{i}" for i in range(12))
+    long = "filler " * 60_000 + item + " end" * 500
+    docs = [(1, item, 1), (1, item, 1), (1, item, 2), (2, "none", 3), (2, "none", 3), (None, None, 4), (None, None, 4), (3, long, 5)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, _id long").selectExpr("*", "_id as _key", "_id as spans", "_id as copies", "_id as n_chars", "_id as row")
+    b = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["n_words"], r["n_hit"]) for r in decontaminate.report(d, b).collect()), key=str)
+    assert got == sorted([(1, 12, 12)] * 3 + [(2, 1, 0)] * 2 + [(None, 0, 0)] * 2 + [(3, 60_512, 12)], key=str)
+    kept = decontaminate.remove(d, b)
+    assert kept.columns == d.columns and sorted(r["_key"] for r in kept.collect()) == [3, 3, 4, 4]
+    cut = decontaminate.remove(d, b, spans=True)
+    assert cut.columns == d.columns and sorted((r["spans"], len(r["text"])) for r in cut.collect() if r["spans"] != 4) == [(1, 0), (1, 0), (2, 0), (3, 4), (3, 4), (5, 7 * 60_000 + 4 * 500 - 1)]
