@@ -9,7 +9,8 @@ per pair of horizontal neighbours.
 of ``ROW`` bytes, are the samples of rows of ``ROW`` bytes; a grey PGM, a colour PPM or a 24-bit BMP, by the
 number of rows modulo 3. Equal texts give equal media. Null and empty texts are one row of padding.
 
-Defined results: every input row gives a row; equal or null ``doc_id`` are kept; other columns are ignored;
+Defined results: every input row gives a row with its tile as the bytes of an NPY file; very long texts are one tall
+image, which a task holds whole; repeated rows have equal media; equal or null ``doc_id`` are kept; other columns are ignored;
 bytes that are not an image raise ``BadImage``.
 """
 

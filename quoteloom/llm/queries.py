@@ -40,7 +40,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.store_media(table(spark, sf_dir, "documents"))).drop("tile")
+    return media.media_features(media.store_media(table(spark, sf_dir, "documents")))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,50 @@ def test_query_equals_plain_python(spark):
         assert r["media_sha256"] == hashlib.sha256(media.text_media(raw)).hexdigest()
         assert np.load(__import__("io").BytesIO(r["tile"])).shape == media.TILE
     assert media.media_features(media.store_media(docs.limit(0))).collect() == []
+
+
+def plain_media(raw):
+    """The stored form, tile and hash of a text's bytes, by loops."""
+    rows = max(1, -(-len(raw) // 576))
+    data = raw + b"\xff" * (rows * 576 - len(raw))
+    if rows % 3 == 0:
+        form, width, channels = b"P5\n576 %d\n255\n" % rows + data, 576, 1
+    elif rows % 3 == 1:
+        form, width, channels = b"P6\n192 %d\n255\n" % rows + data, 192, 3
+    else:
+        width, channels, body = 192, 3, b""
+        for y in reversed(range(rows)):
+            line = data[y * 576 : (y + 1) * 576]
+            body += b"".join(line[i : i + 3][::-1] for i in range(0, 576, 3))
+        form = b"BM" + struct.pack("<IHHIIiiHHIIiiII", 54 + len(body), 0, 0, 54, 40, 192, rows, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body
+    sample = lambda y, x: sum(data[y * 576 + x * channels + k] for k in range(channels)) / channels
+    share = lambda lo, hi, i: max(0.0, min(hi, i + 1) - max(lo, i))
+    tile = np.zeros((8, 9), np.uint8)
+    for r in range(8):
+        top, foot = r * rows / 8, (r + 1) * rows / 8
+        for c in range(9):
+            near, past = c * width / 9, (c + 1) * width / 9
+            total = sum(sample(y, x) * share(top, foot, y) * share(near, past, x) for y in range(int(top), min(rows, int(foot) + 1)) for x in range(int(near), min(width, int(past) + 1)))
+            tile[r, c] = int(total / ((foot - top) * (past - near)) + 0.5)
+    bits = "".join("1" if tile[r, c + 1] > tile[r, c] else "0" for r in range(8) for c in range(8))
+    return form, tile, f"{width}x{rows}x{channels}:{int(bits, 2):016x}"
+
+
+def test_tile_and_hash_equal_plain_python(spark):
+    rng = np.random.default_rng(4)
+    texts = ["", "plain words " * 60, "ab" * 700, "z" * 2500, "".join(chr(c) for c in rng.integers(33, 126, 1201)), "é" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in media.media_features(media.store_media(docs)).collect():
+        form, tile, feature = plain_media(texts[r["doc_id"]].encode())
+        assert (r["media_bytes"], r["media_sha256"]) == (len(form), hashlib.sha256(form).hexdigest())
+        got = np.load(__import__("io").BytesIO(r["tile"]))
+        assert got.dtype == np.uint8 and np.abs(got.astype(int) - tile).max() <= 1  # sums in another order may round elsewhere
+        if (got == tile).all():
+            assert r["feature"] == feature
+
+
+def test_query_keeps_the_tiles(spark):
+    from quoteloom.llm import queries
+
+    found = queries.op7_media_columns(spark, "/root/testdata/sf0.001")
+    assert "tile" in found.columns and found.where("tile is null").count() == 0
