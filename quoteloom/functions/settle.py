@@ -6,9 +6,11 @@ quarter line (25 or 75 cents) is the sum of its two neighbours' signs and no flo
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import market
+
 #: Results by their integer.
 NAMES = {2: "FULL_WIN", 1: "HALF_WIN", 0: "PUSH", -1: "HALF_LOSS", -2: "FULL_LOSS"}
 
@@ -24,12 +26,13 @@ def line_result(value_c: Column, line_c: Column) -> Column:
 
 
 def won(condition: Column) -> Column:
-    return F.when(condition, 2).otherwise(-2)
+    """A full win or loss; null where the condition is, as without a score."""
+    return F.when(condition, 2).when(~condition, -2)
 
 
 def total_result(outcome: Column, total: Column, line_c: Column) -> Column:
     over = line_result(total * 100, line_c)
-    return F.when(outcome == "OVER", over).otherwise(-over)
+    return F.when(outcome == "OVER", over).when(outcome == "UNDER", -over)
 
 
 def handicap_result(participant: Column, margin: Column, line_c: Column) -> Column:
@@ -39,17 +42,16 @@ def handicap_result(participant: Column, margin: Column, line_c: Column) -> Colu
 
 
 def result_1x2(outcome: Column, margin: Column) -> Column:
-    """Result market and double chance."""
-    good = (
-        ((outcome == "HOME") & (margin > 0)) | ((outcome == "DRAW") & (margin == 0)) | ((outcome == "AWAY") & (margin < 0))
-        | ((outcome == "HOME_OR_DRAW") & (margin >= 0)) | ((outcome == "HOME_OR_AWAY") & (margin != 0)) | ((outcome == "DRAW_OR_AWAY") & (margin <= 0))
+    """Result market and double chance; null for any other outcome."""
+    return (
+        F.when(outcome == "HOME", won(margin > 0)).when(outcome == "DRAW", won(margin == 0)).when(outcome == "AWAY", won(margin < 0))
+        .when(outcome == "HOME_OR_DRAW", won(margin >= 0)).when(outcome == "HOME_OR_AWAY", won(margin != 0)).when(outcome.isin("AWAY_OR_DRAW", "DRAW_OR_AWAY"), won(margin <= 0))
     )
-    return won(good)
 
 
 def btts_result(outcome: Column, home: Column, away: Column) -> Column:
     both = (home >= 1) & (away >= 1)
-    return won(F.when(outcome == "BTTS_YES", both).otherwise(~both))
+    return F.when(outcome == "BTTS_YES", won(both)).when(outcome == "BTTS_NO", won(~both))
 
 
 def exact_result(outcome: Column, home: Column, away: Column) -> Column:
@@ -58,19 +60,56 @@ def exact_result(outcome: Column, home: Column, away: Column) -> Column:
     return F.when(outcome.rlike("^[0-9]+-[0-9]+$"), won((part(1) == home) & (part(2) == away)))
 
 
+#: Families that are settled as a total of both sides, whatever is counted.
+TOTALS = ["MATCH_TOTAL", "ASIAN_TOTAL", "CORNERS", "CARDS"]
+
+
 def settle(family: Column, outcome: Column, participant: Column, line_c: Column, home: Column, away: Column) -> Column:
-    """The result of a selection for a final score; null if it can't be settled."""
-    total = F.when(participant == "HOME", home).when(participant == "AWAY", away).otherwise(home + away)
+    """The result of a selection for a final score, or count of corners or cards; null if it can't be settled."""
+    own = F.when(participant == "HOME", home).when(participant == "AWAY", away)
+    side = F.when(outcome.isin("HOME", "AWAY"), F.coalesce(participant, outcome))
     return (
-        F.when(family.isin("MATCH_TOTAL", "ASIAN_TOTAL"), total_result(outcome, home + away, line_c))
-        .when(family == "TEAM_TOTAL", total_result(outcome, total, line_c))
-        .when(family == "ASIAN_HANDICAP", handicap_result(participant, home - away, line_c))
+        F.when(family.isin(TOTALS), total_result(outcome, home + away, line_c))
+        .when(family.isin("TEAM_TOTAL", "TEAM_ASIAN_TOTAL"), total_result(outcome, own, line_c))
+        .when((family == "ASIAN_HANDICAP") & side.isNotNull(), handicap_result(side, home - away, line_c))
         .when(family.isin("MATCH_RESULT", "DOUBLE_CHANCE"), result_1x2(outcome, home - away))
         .when(family == "BTTS", btts_result(outcome, home, away))
         .when(family == "EXACT_SCORE", exact_result(outcome, home, away))
     )
 
 
+def settle_periods(rows: DataFrame) -> DataFrame:
+    """Adds result, the name of a selection's result in its own period, and reason, why there is none.
+
+    rows: family, period, outcome, participant, line_c, status and the scores first, full, second, extra, penalties, corners,
+    cards, each a struct (home, away) or null; corners and cards are counted over the match, whatever the period. The score
+    is a column of its own before it is settled, so the many rules that read it don't each work it out.
+    """
+    family, outcome, participant, line_c, status = (F.col(c) for c in ("family", "outcome", "participant", "line_c", "status"))
+    goals = market.period_score(F.col("period"), *(F.col(c) for c in ("first", "full", "second", "extra", "penalties")))
+    score = F.when(family == "CORNERS", F.col("corners")).when(family == "CARDS", F.col("cards")).otherwise(goals)
+    scored = rows.withColumn("_score", score).withColumn("_home", F.col("_score.home")).withColumn("_away", F.col("_score.away"))
+    points = scored.withColumn("_points", settle(family, outcome, participant, line_c, F.col("_home"), F.col("_away")))
+    settled = points.withColumn("result", settle_match(status, F.col("_points")))
+    teams = family.isin("TEAM_TOTAL", "TEAM_ASIAN_TOTAL")
+    lined = family.isin(TOTALS) | teams | ((family == "ASIAN_HANDICAP") & outcome.isin("HOME", "AWAY"))
+    reason = (
+        F.when(F.col("result").isNotNull(), F.lit(None).cast("string")).when(~status.eqNullSafe("FINISHED"), "not finished").when(~family.isin([s[0] for s in market.SPECS]), "no rule")
+        .when(F.col("_home").isNull(), "no score").when(teams & participant.isNull(), "no participant").when(lined & line_c.isNull(), "no line").otherwise("outcome")
+    )
+    return settled.withColumn("reason", reason).drop("_score", "_home", "_away", "_points")
+
+
+def combined(components: Column) -> Column:
+    """The result of a stake split over components WIN, LOSS, PUSH, VOID; null where they have none: of no components, of some void ones, of a win and a loss."""
+    has = lambda x: F.array_contains(components, x)
+    every = lambda x: F.forall(components, lambda c: c == x)
+    return (
+        F.when((F.size(components) == 0) | (has("WIN") & has("LOSS")), F.lit(None).cast("string")).when(has("VOID"), F.when(every("VOID"), "VOID"))
+        .when(has("WIN"), F.when(every("WIN"), "FULL_WIN").otherwise("HALF_WIN")).when(has("LOSS"), F.when(every("LOSS"), "FULL_LOSS").otherwise("HALF_LOSS")).when(every("PUSH"), "PUSH")
+    )
+
+
 def settle_match(status: Column, result: Column) -> Column:
     """Name of a result given the match's status: void if it was called off, null if it is not finished."""
     names = F.create_map(*(x for k, v in NAMES.items() for x in (F.lit(k), F.lit(v))))

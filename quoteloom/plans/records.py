@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import candidates, history, ops, quotes, reconcile, reports
+from ..functions import settle
+from ..operators import candidates, history, labels, ops, quotes, reconcile, reports
 from ..sources import binding, market
 
 QUERIES, SQL = {}, {}
@@ -342,3 +343,75 @@ def event_by_id(spark, sf_dir):
     """One event with the number of its legs; the id reaches both scans."""
     legs = _lines(spark, sf_dir).where("l_orderkey = 42").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("legs"))
     return _orders(spark, sf_dir).where("o_orderkey = 42").join(legs, "o_orderkey", "left").select("o_orderkey", "o_custkey", "o_orderpriority", F.coalesce("legs", F.lit(0)).alias("legs"))
+
+
+MARKET_LABELS = [
+    "Goals Over/Under", "Total Goals O/U", "Home Team Goals O/U", "Away Team Total - 1st Half", "Home Asian Handicap", "Asian Handicap (Visitors)", "Asian Total", "Asian Team Total Hosts",
+    "1X2", "1 x 2", "Match Result", "Three-Way - 2nd half", "Both Teams to Score", "BTTS first half", "Total Corners", "Yellow Cards", "Shots O/U", "Draw No Bet", "Anytime Goalscorer",
+    "Correct Score", "Double-Chance", "Hcap", "Extra Time Total Goals", "Outright Winner", "Totál Góals", "Corner kicks", "Team overtime", None,
+]
+MARKET_KEYS = ["none", "none", "totals", "none", "h2h_first", "none", "team_home"]
+REGISTRY = [("odds", "totals", "MATCH_TOTAL", "FULL_MATCH", None, None), ("odds", "h2h_first", "MATCH_RESULT", "FIRST_HALF", None, None), ("odds", "team_home", "TEAM_TOTAL", "FULL_MATCH", "HOME", None)]
+
+
+@query(rf"""WITH {_SPEC_SQL}, d AS (SELECT l_orderkey, l_linenumber, {_pick_sql(MARKET_KEYS, 'l_partkey')} AS key,
+      {_pick_sql(MARKET_LABELS, 'l_orderkey')} || CASE l_linenumber % 4 WHEN 0 THEN ' 2.5' WHEN 1 THEN ' -0,75' ELSE '' END AS label, CASE l_suppkey % 3 WHEN 0 THEN '1.5' WHEN 1 THEN '3.5' END AS stated FROM lineitem),
+    t AS (SELECT *, trim(regexp_replace(lower(strip_accents(label)), '[^a-z0-9]+', ' ', 'g')) AS x, replace(regexp_extract_all(label, '-?[0-9]+([.,][0-9]+)?')[-1], ',', '.') AS own FROM d),
+    w AS (SELECT *, string_split(x, ' ') AS ws, regexp_matches(x, 'total|over|under|o u|goals') AS totals FROM t),
+    c AS (SELECT *, CASE WHEN key = 'totals' THEN 'MATCH_TOTAL' WHEN key = 'h2h_first' THEN 'MATCH_RESULT' WHEN key = 'team_home' THEN 'TEAM_TOTAL' WHEN x IS NULL THEN '!unknown key and no label'
+        WHEN contains(x, 'double chance') THEN 'DOUBLE_CHANCE' WHEN contains(x, 'correct score') THEN 'EXACT_SCORE' WHEN regexp_matches(x, 'both teams to score|btts') THEN 'BTTS'
+        WHEN contains(x, 'draw no bet') THEN '!draw no bet is intentionally unmapped' WHEN contains(x, 'goalscorer') THEN '!player markets have no family' WHEN 'corners' IN ws THEN 'CORNERS' WHEN 'cards' IN ws THEN 'CARDS' WHEN 'shots' IN ws THEN '!shots have no family'
+        WHEN 'asian' IN ws AND 'handicap' IN ws THEN 'ASIAN_HANDICAP' WHEN 'asian' IN ws AND 'team' IN ws THEN 'TEAM_ASIAN_TOTAL' WHEN 'asian' IN ws AND totals THEN 'ASIAN_TOTAL' WHEN 'team' IN ws AND totals THEN 'TEAM_TOTAL'
+        WHEN contains(x, 'hcap') THEN 'ASIAN_HANDICAP' WHEN totals THEN 'MATCH_TOTAL' WHEN replace(x, ' ', '') = '1x2' OR regexp_matches(x, 'match result|three way') THEN 'MATCH_RESULT' ELSE '!no rule fits the label' END AS found FROM w),
+    f AS (SELECT *, found[1] <> '!' AS matched, CASE WHEN found[1] = '!' THEN found[2:] END AS reason, CASE WHEN found[1] <> '!' THEN found END AS family, key <> 'none' AS hit,
+        CASE WHEN key = 'team_home' THEN 'HOME' WHEN 'home' IN ws OR 'hosts' IN ws THEN 'HOME' WHEN 'visitors' IN ws OR 'away' IN ws THEN 'AWAY' END AS side FROM c),
+    g AS (SELECT f.*, takes_p, takes_l, type, CASE WHEN takes_l THEN coalesce(own, stated) END AS line, CASE WHEN takes_p THEN side END AS participant FROM f LEFT JOIN spec USING (family))
+    SELECT l_orderkey, l_linenumber, matched, reason, family, type AS market_type, participant, line, CASE WHEN matched THEN CASE WHEN hit THEN 'key' ELSE 'label' END END AS via,
+      CASE WHEN matched THEN CASE WHEN key = 'h2h_first' THEN 'FIRST_HALF' WHEN hit THEN 'FULL_MATCH' WHEN contains(x, 'extra time') THEN 'EXTRA_TIME' WHEN regexp_matches(x, '(1st|first) half') THEN 'FIRST_HALF' WHEN contains(x, '2nd half') THEN 'SECOND_HALF' ELSE 'FULL_MATCH' END END AS period,
+      CASE WHEN matched THEN concat_ws(',', CASE WHEN takes_l AND line IS NULL THEN 'line' END, CASE WHEN takes_p AND participant IS NULL THEN 'participant' END) END AS problems FROM g""")
+def label_normalize(spark, sf_dir):
+    """Market identity of labels, keys and outcomes as a provider sends them, or why there is none."""
+    suffix = F.when(F.col("l_linenumber") % 4 == 0, " 2.5").when(F.col("l_linenumber") % 4 == 1, " -0,75").otherwise("")
+    stated = lambda *pairs: F.array(*(F.struct(F.lit(n).alias("name"), F.lit(p).cast("string").alias("point")) for n, p in pairs))
+    outcomes = F.when(F.col("l_suppkey") % 3 == 0, stated(("Over 1,5", None), ("Under 1.5", None))).when(F.col("l_suppkey") % 3 == 1, stated(("A", "-3.5"), ("B", "+3.5"), ("C 3.5", None)))
+    label, key = F.concat(_pick(MARKET_LABELS, F.col("l_orderkey")), suffix), _pick(MARKET_KEYS, F.col("l_partkey"))
+    rows = _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", F.lit("odds").alias("provider"), key.alias("key"), label.alias("label"), outcomes.alias("outcomes"))
+    found = labels.normalize_markets(rows, spark.createDataFrame(REGISTRY, labels.KEY_SCHEMA))
+    return found.select("l_orderkey", "l_linenumber", "matched", "reason", "family", "market_type", "participant", "line", "via", "period", F.array_join("problems", ",").alias("problems"))
+
+
+SELECTIONS = [
+    ("MATCH_TOTAL", "FIRST_HALF", "OVER", None, 50), ("ASIAN_TOTAL", "SECOND_HALF", "UNDER", None, 125), ("TEAM_ASIAN_TOTAL", "FULL_MATCH", "OVER", "AWAY", 175), ("TEAM_TOTAL", "FULL_MATCH", "UNDER", None, 150),
+    ("CORNERS", "FULL_MATCH", "OVER", None, 950), ("CARDS", "FULL_MATCH", "UNDER", None, 400), ("ASIAN_HANDICAP", "SECOND_HALF", "AWAY", None, -25), ("ASIAN_HANDICAP", "FULL_MATCH", "DRAW", None, 0),
+    ("MATCH_RESULT", "EXTRA_TIME", "DRAW", None, None), ("DOUBLE_CHANCE", "FIRST_HALF", "AWAY_OR_DRAW", None, None), ("BTTS", "SECOND_HALF", "BTTS_YES", None, None), ("EXACT_SCORE", "PENALTIES", "5-4", None, None),
+    ("CARDS", "FULL_MATCH", "OVER", None, None), ("OUTRIGHT", "FULL_MATCH", "HOME", None, None), ("MATCH_RESULT", "FULL_MATCH", "OVER", None, None), ("ASIAN_HANDICAP", "FIRST_HALF", "HOME", "HOME", -75), ("TEAM_TOTAL", "SECOND_HALF", "UNDER", "HOME", 100),
+]
+ENDINGS = ["FINISHED", "FINISHED", "ABANDONED", "FINISHED", "SCHEDULED", "POSTPONED", "FINISHED"]
+_SELECTION_SQL = "sel(n, family, period, outcome, participant, line_c) AS (VALUES " + ", ".join(str((i, *s)).replace("None", "NULL") for i, s in enumerate(SELECTIONS)) + ")"
+
+
+@query(f"""WITH {_SELECTION_SQL}, m AS (SELECT l_orderkey, l_linenumber, l_partkey % {len(SELECTIONS)} AS n, {_pick_sql(ENDINGS, 'l_orderkey')} AS status, {{'h': l_orderkey % 5, 'a': l_partkey % 4}} AS ft,
+        CASE WHEN l_orderkey % 6 > 0 THEN {{'h': least(l_orderkey % 5, 1), 'a': least(l_partkey % 4, 1)}} END AS fh, CASE WHEN l_orderkey % 10 = 0 THEN {{'h': 3, 'a': 1}} END AS sh, CASE WHEN l_suppkey % 3 = 0 THEN {{'h': 1, 'a': l_linenumber % 2}} END AS et,
+        CASE WHEN l_suppkey % 2 = 0 THEN {{'h': 5, 'a': 3 + l_linenumber % 2}} END AS pen, CASE WHEN l_suppkey % 5 > 0 THEN {{'h': l_suppkey % 9, 'a': l_orderkey % 7}} END AS corners, CASE WHEN l_suppkey % 4 > 0 THEN {{'h': l_suppkey % 4, 'a': l_orderkey % 5}} END AS cards FROM lineitem),
+    s AS (SELECT m.*, sel.* EXCLUDE (n), CASE family WHEN 'CORNERS' THEN corners WHEN 'CARDS' THEN cards ELSE CASE period WHEN 'FULL_MATCH' THEN ft WHEN 'FIRST_HALF' THEN fh WHEN 'EXTRA_TIME' THEN et WHEN 'PENALTIES' THEN pen
+        ELSE coalesce(sh, CASE WHEN fh IS NOT NULL THEN {{'h': ft.h - fh.h, 'a': ft.a - fh.a}} END) END END AS g FROM m JOIN sel USING (n)),
+    x AS (SELECT *, g.h - g.a AS margin, 100 * CASE WHEN family LIKE 'TEAM%' THEN CASE participant WHEN 'HOME' THEN g.h WHEN 'AWAY' THEN g.a END ELSE g.h + g.a END AS actual FROM s),
+    y AS (SELECT *, CASE WHEN family = 'ASIAN_HANDICAP' THEN CASE outcome WHEN 'HOME' THEN 100 * margin + line_c WHEN 'AWAY' THEN line_c - 100 * margin END ELSE CASE outcome WHEN 'OVER' THEN actual - line_c WHEN 'UNDER' THEN line_c - actual END END AS lead,
+        CASE outcome WHEN 'HOME' THEN margin > 0 WHEN 'DRAW' THEN margin = 0 WHEN 'AWAY_OR_DRAW' THEN margin <= 0 WHEN 'BTTS_YES' THEN g.h > 0 AND g.a > 0 WHEN '5-4' THEN g.h = 5 AND g.a = 4 END AS good FROM x),
+    z AS (SELECT *, CASE WHEN line_c % 50 <> 0 THEN [lead - 25, lead + 25] ELSE [lead, lead] END AS parts, family IN ('MATCH_RESULT', 'DOUBLE_CHANCE', 'BTTS', 'EXACT_SCORE') AS plain FROM y),
+    r AS (SELECT *, CASE WHEN status IN ('ABANDONED', 'POSTPONED') THEN 'VOID' WHEN status <> 'FINISHED' OR family = 'OUTRIGHT' THEN NULL WHEN plain THEN CASE WHEN good THEN 'FULL_WIN' WHEN NOT good THEN 'FULL_LOSS' END WHEN lead IS NULL THEN NULL
+        WHEN list_min(parts) > 0 THEN 'FULL_WIN' WHEN list_max(parts) < 0 THEN 'FULL_LOSS' WHEN list_max(parts) > 0 THEN 'HALF_WIN' WHEN list_min(parts) < 0 THEN 'HALF_LOSS' ELSE 'PUSH' END AS result FROM z)
+    SELECT l_orderkey, l_linenumber, result, CASE WHEN result IS NOT NULL THEN NULL WHEN status <> 'FINISHED' THEN 'not finished' WHEN family = 'OUTRIGHT' THEN 'no rule' WHEN g IS NULL THEN 'no score' WHEN family = 'TEAM_TOTAL' AND participant IS NULL THEN 'no participant'
+      WHEN family = 'CARDS' AND line_c IS NULL THEN 'no line' ELSE 'outcome' END AS reason FROM r""")
+def settle_periods(spark, sf_dir):
+    """Selections of every family settled in their own period, by goals, corners or cards, or why they can't be."""
+    k, p, s, n = (F.col(f"l_{c}") for c in ("orderkey", "partkey", "suppkey", "linenumber"))
+    score = lambda home, away: F.struct(home.cast("int").alias("home"), away.cast("int").alias("away"))
+    scores = {
+        "full": score(k % 5, p % 4), "first": F.when(k % 6 > 0, score(F.least(k % 5, F.lit(1)), F.least(p % 4, F.lit(1)))), "second": F.when(k % 10 == 0, score(F.lit(3), F.lit(1))), "extra": F.when(s % 3 == 0, score(F.lit(1), n % 2)),
+        "penalties": F.when(s % 2 == 0, score(F.lit(5), 3 + n % 2)), "corners": F.when(s % 5 > 0, score(s % 9, k % 7)), "cards": F.when(s % 4 > 0, score(s % 4, k % 5)),
+    }
+    kinds = spark.createDataFrame([(i, *x) for i, x in enumerate(SELECTIONS)], "n long, family string, period string, outcome string, participant string, line_c int")
+    rows = _lines(spark, sf_dir).withColumn("n", p % len(SELECTIONS)).join(F.broadcast(kinds), "n")  # 17 rows
+    found = settle.settle_periods(rows.select("l_orderkey", "l_linenumber", *kinds.columns[1:], _pick(ENDINGS, k).alias("status"), *(v.alias(c) for c, v in scores.items())))
+    return found.select("l_orderkey", "l_linenumber", "result", "reason")
