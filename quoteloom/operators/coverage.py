@@ -83,35 +83,55 @@ def maximin_two(df: DataFrame) -> DataFrame:
     return m.withColumn("best_return", F.array_max(F.transform(shares, lambda t: worst(F.col("matrix"), t)))).drop("matrix")
 
 
-def maximin(matrix: np.ndarray) -> tuple[float, np.ndarray]:
-    """(value, shares) of the largest guaranteed return for any number of legs (states x legs, all >= 0).
+#: Systems of equations that one stacked call solves at most.
+SYSTEMS = 200_000
+
+
+def maximin_stack(matrices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, shares) of the largest guaranteed returns of many matrices of one shape (rows x states x legs, all >= 0).
 
     Every vertex of the polytope of (shares, value) has as many tight rows as legs: states that attain the value or
-    shares of zero. All are solved in one stacked call and the best feasible one is taken.
+    shares of zero. The vertices of all matrices are solved in stacked calls and the best feasible one of each is taken.
     """
-    matrix = np.unique(matrix, axis=0)
-    states, legs = matrix.shape
-    rows = np.concatenate([np.hstack([matrix, -np.ones((states, 1))]), np.hstack([np.eye(legs), np.zeros((legs, 1))])])
-    chosen = np.array(list(combinations(range(len(rows)), legs)))
-    systems = np.concatenate([rows[chosen], np.broadcast_to(np.append(np.ones(legs), 0), (len(chosen), 1, legs + 1))], axis=1)
-    good = np.abs(np.linalg.det(systems)) > 1e-12
-    right = np.zeros((legs + 1, 1))
-    right[-1] = 1
-    points = np.linalg.solve(systems[good], np.broadcast_to(right, (int(good.sum()), legs + 1, 1)))[:, :, 0]
-    points = points[(points[:, :legs] >= -1e-9).all(axis=1)]
-    values = (points[:, :legs] @ matrix.T).min(axis=1)
-    best = int(np.argmax(values))
-    return float(values[best]), points[best, :legs]
+    count, states, legs = matrices.shape
+    zero = np.broadcast_to(np.hstack([np.eye(legs), np.zeros((legs, 1))]), (count, legs, legs + 1))
+    rows = np.concatenate([np.concatenate([matrices, -np.ones((count, states, 1))], axis=2), zero], axis=1)
+    chosen = np.array(list(combinations(range(states + legs), legs)))
+    values, shares = np.zeros(count), np.zeros((count, legs))
+    step = max(1, SYSTEMS // len(chosen))
+    right = np.append(np.zeros(legs), 1.0)[:, None]
+    for i in range(0, count, step):
+        some = matrices[i : i + step]
+        total = np.broadcast_to(np.append(np.ones(legs), 0), (len(some), len(chosen), 1, legs + 1))
+        systems = np.concatenate([rows[i : i + step][:, chosen], total], axis=2)
+        good = np.abs(np.linalg.det(systems)) > 1e-12
+        systems[~good] = np.eye(legs + 1)
+        points = np.linalg.solve(systems, np.broadcast_to(right, (*systems.shape[:2], legs + 1, 1)))[..., 0][..., :legs]
+        good &= (points >= -1e-9).all(axis=2)
+        worth = np.where(good, (points @ some.transpose(0, 2, 1)).min(axis=2), -np.inf)
+        best, at = worth.argmax(axis=1), np.arange(len(some))
+        values[i : i + step], shares[i : i + step] = worth[at, best], points[at, best]
+    return values, shares
+
+
+def maximin(matrix: np.ndarray) -> tuple[float, np.ndarray]:
+    """(value, shares) of one matrix (states x legs)."""
+    values, shares = maximin_stack(np.unique(matrix, axis=0)[None])
+    return float(values[0]), shares[0]
 
 
 def maximin_many(df: DataFrame, legs: int) -> DataFrame:
-    """event, slots and best_return of candidates of three legs and more, in Arrow batches."""
+    """event, slots and best_return of candidates of three legs and more: those of a batch with as many states in stacked calls."""
     keys = ["event", *(f"slot_{x}" for x in "abc"[:legs])]
 
     def run(batches):
         for pdf in batches:
-            pdf["best_return"] = [maximin(np.array([list(r) for r in m], float))[0] for m in pdf["matrix"]]
-            yield pdf[[*keys, "best_return"]]
+            best, sizes = np.zeros(len(pdf)), pdf["matrix"].map(len).to_numpy()
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                flat = np.concatenate([np.concatenate(m) for m in pdf["matrix"].iloc[at]])
+                best[at] = maximin_stack(flat.astype(float).reshape(len(at), size, legs))[0]
+            yield pdf[keys].assign(best_return=best)
 
     schema = "event long, " + ", ".join(f"{k} int" for k in keys[1:]) + ", best_return double"
     return df.select(*keys, payoffs(legs).alias("matrix")).mapInPandas(run, schema)

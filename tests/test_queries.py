@@ -72,6 +72,18 @@ def test_token_bucket_fold(spark):
     assert {(r["source"], r["allowed"]): r["requests"] for r in QUERIES["token_bucket"](spark, SF_DIR).collect()} == want
 
 
+def test_maximin_of_three_legs_one_by_one(spark):
+    """The stacked solves of the query's rows against a search of their own, on the thirds of a simplex grid."""
+    rng = np.random.default_rng(5)
+    stack = rng.choice([0.0, 0.5, 1.0, 1.7, 2.4], size=(50, 5, 3))
+    values, shares = coverage.maximin_stack(stack)
+    grid = np.array([(i, j, 60 - i - j) for i in range(61) for j in range(61 - i)]) / 60
+    for matrix, value, share in zip(stack, values, shares, strict=True):
+        assert abs(share.sum() - 1) < 1e-9 and abs((matrix @ share).min() - value) < 1e-9
+        assert -1e-9 <= value - (grid @ matrix.T).min(axis=1).max() <= 0.1
+        assert abs(coverage.maximin(matrix)[0] - value) < 1e-9
+
+
 def test_maximin_against_search():
     rng = np.random.default_rng(3)
     for _ in range(60):
