@@ -415,3 +415,22 @@ def settle_periods(spark, sf_dir):
     rows = _lines(spark, sf_dir).withColumn("n", p % len(SELECTIONS)).join(F.broadcast(kinds), "n")  # 17 rows
     found = settle.settle_periods(rows.select("l_orderkey", "l_linenumber", *kinds.columns[1:], _pick(ENDINGS, k).alias("status"), *(v.alias(c) for c, v in scores.items())))
     return found.select("l_orderkey", "l_linenumber", "result", "reason")
+
+
+TEAM_NAMES = ["Over 1.5", "Under 1.5", "over", "Team  Alpha", "U", "Under 2,5", "maybe 3", "Under .5", " team beta", "Over -0.5", "o 2"]
+TEAM_POINTS = [None, "1.5", "-0.25", "x", None]
+
+
+@query(rf"""WITH o AS (SELECT l_orderkey, l_linenumber, 'b' || l_partkey % 3 AS book, {_pick_sql(TEAM_NAMES, 'l_orderkey')} AS name, {_pick_sql(TEAM_POINTS, 'l_partkey')} AS point,
+      {_pick_sql(['team_totals_home', 'totals', 'team_totals_away'], 'l_suppkey')} AS key, (l_linenumber - 1) * 0.5 + 0.75 AS price FROM lineitem),
+    p AS (SELECT *, CASE WHEN name = 'Team  Alpha' THEN 'HOME' WHEN name = ' team beta' THEN 'AWAY' WHEN key = 'team_totals_home' THEN 'HOME' ELSE 'AWAY' END AS who, CASE WHEN name ILIKE 'over%' THEN 'OVER' WHEN name ILIKE 'under%' OR name = 'U' THEN 'UNDER' END AS side,
+      coalesce(CASE WHEN regexp_full_match(point, '-?[0-9]+(\.[0-9]+)?') THEN point END, nullif(replace(regexp_extract(trim(name), '(^| )(-?[0-9]+([.,][0-9]+)?)$', 2), ',', '.'), '')) AS line FROM o WHERE key <> 'totals')
+    SELECT l_orderkey, l_linenumber, key || '::' || who || '::' || line AS market_id, CASE WHEN price > 1 THEN side END AS outcome, CASE WHEN price <= 1 OR side IS NULL THEN book || ':' || key || ':' || name END AS skip FROM p WHERE line IS NOT NULL""")
+def team_total_split(spark, sf_dir):
+    """Team totals of one provider market as markets of their own, and what is left out."""
+    columns = {
+        "book": F.concat(F.lit("b"), (F.col("l_partkey") % 3).cast("string")), "name": _pick(TEAM_NAMES, F.col("l_orderkey")), "point": _pick(TEAM_POINTS, F.col("l_partkey")), "home_team": F.lit("team alpha"), "away_team": F.lit("Team Beta"),
+        "key": _pick(["team_totals_home", "totals", "team_totals_away"], F.col("l_suppkey")), "price": (F.col("l_linenumber") - 1) * 0.5 + 0.75,
+    }
+    rows = _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", *(v.alias(c) for c, v in columns.items()))
+    return market.split_team_totals(rows).select("l_orderkey", "l_linenumber", "market_id", "outcome", "skip")

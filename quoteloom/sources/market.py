@@ -116,3 +116,25 @@ def period_score(period: Column, first: Column, full: Column, second: Column, ex
     rest = F.when(first.isNotNull() & full.isNotNull(), F.struct((full["home"] - first["home"]).alias("home"), (full["away"] - first["away"]).alias("away")))
     named = {"FULL_MATCH": full, "FIRST_HALF": first, "SECOND_HALF": F.coalesce(second, rest), "EXTRA_TIME": extra, "PENALTIES": penalties}
     return reduce(lambda c, kv: c.when(period == kv[0], kv[1]), named.items(), F.when(F.lit(False), full))
+
+
+#: Keys of markets that hold a team's totals, and whose they are where a name says none.
+TEAM_KEYS = {"team_totals_home": "HOME", "team_totals_away": "AWAY"}
+
+
+def split_team_totals(outcomes: DataFrame) -> DataFrame:
+    """Outcomes of team-total markets, dealt to one market a participant and line: adds participant, line, market_id, outcome and skip.
+
+    outcomes: book, key, home_team, away_team, name, price, point (text) and any others, one row an outcome. Outcomes without a
+    participant or line belong to no market and go; those with a bad price or a name of neither side stay with the tag
+    ``book:key:name`` in skip and no outcome.
+    """
+    name, home, away = F.col("name"), F.col("home_team"), F.col("away_team")
+    fallback = reduce(lambda c, kv: c.when(F.col("key") == kv[0], kv[1]), TEAM_KEYS.items(), F.when(F.lit(False), ""))
+    participant = F.coalesce(F.when(label(name) == label(home), "HOME").when(label(name) == label(away), "AWAY"), fallback)
+    last = F.regexp_replace(F.regexp_extract(F.trim(name), r"(?:^|\s)(-?[0-9]+(?:[.,][0-9]+)?)$", 1), ",", ".")
+    line = F.coalesce(F.when(F.col("point").rlike(r"^-?[0-9]+(\.[0-9]+)?$"), F.col("point")), F.when(last != "", last))
+    rows = outcomes.where(F.col("key").isin(*TEAM_KEYS)).withColumn("participant", participant).withColumn("line", line).where("participant is not null and line is not null")
+    outcome = F.when(F.col("price") > 1, map_outcome(F.lit("TEAM_TOTAL"), name, home, away))
+    rows = rows.withColumn("market_id", F.concat_ws("::", "key", "participant", "line")).withColumn("outcome", outcome)
+    return rows.withColumn("skip", F.when(F.col("outcome").isNull(), F.concat_ws(":", "book", "key", "name")))
