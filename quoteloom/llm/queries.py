@@ -1,4 +1,4 @@
-"""The queries of the ten operators; ``__spark_entry__`` adds them to the others."""
+"""The queries of the operators; ``__spark_entry__`` adds them to the others."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, media, ngram_join, pieces, quality, substring_dedup, token_files, tool_calls, warc
+from . import decontaminate, line_dedup, media, ngram_join, pieces, quality, ranked_search, substring_dedup, token_files, tool_calls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), n=35)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
@@ -69,8 +73,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_warc": op9_warc,
         "op10_substring_dedup": op10_substring_dedup,
+        "op12_ranked_search": op12_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": decontaminate.ORACLE}
+    return {"op6_benchmark_decontamination": decontaminate.ORACLE, "op12_ranked_search": ranked_search.ORACLE}
