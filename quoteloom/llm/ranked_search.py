@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 from . import store, textscan
 from .decontaminate import LOWER, RAW_WORD, UPPER
 
-SHARD, FAN = 16_384, 32
+SHARD, FAN = 4096, 32
 BLOCK_BYTES = 16 << 20
 #: Past all ids, for documents without one.
 _NO_ID = (1 << 63) - 1
@@ -123,11 +123,18 @@ def levels(term: np.ndarray, place: np.ndarray, part: np.ndarray, size: int) ->
 SHARD_ROW = "shard long, least long, doc_ids array<long>, terms array<array<long>>, places array<array<long>>, parts array<array<long>>, firsts array<array<long>>"
 
 
+def _nested(arrays: list[np.ndarray]) -> pa.Array:
+    """One row: a list of lists of longs."""
+    edges = np.append(0, np.cumsum([len(x) for x in arrays])).astype(np.int32)
+    inner = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(arrays).astype(np.int64)))
+    return pa.ListArray.from_arrays(pa.array([0, len(arrays)], pa.int32()), inner)
+
+
 def shards(rows: DataFrame, n_docs: int, n_terms: int, size: int) -> DataFrame:
     """The shards (``SHARD_ROW``) of ``counted`` rows with terms: ranges of ids, each cut into runs of ``size`` documents."""
 
     def shard(number: int, batch: pa.Table) -> pa.RecordBatch:
-        ids = batch["doc_id"].to_pylist()
+        ids = batch["doc_id"].combine_chunks()
         # NumPy's integer division rounds down, as all of these are positive
         m = 25 + 75 * batch["n"].to_numpy() * n_docs // n_terms
         column = lambda name: batch[name].combine_chunks()
@@ -136,9 +143,10 @@ def shards(rows: DataFrame, n_docs: int, n_terms: int, size: int) -> DataFrame:
         part = 10**9 * tf // (1000 * tf + 8 * m[place])
         order = np.lexsort((place, term))
         tree = levels(term[order], place[order], part[order], len(ids))
-        lists = [pa.array([[x[i].tolist() for x in tree]], pa.list_(pa.list_(pa.int64()))) for i in range(4)]
+        lists = [_nested([x[i] for x in tree]) for i in range(4)]
+        all_ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
         return pa.RecordBatch.from_arrays(
-            [pa.array([number]), pa.array([_NO_ID if ids[0] is None else ids[0]]), pa.array([ids], pa.list_(pa.int64())), *lists],
+            [pa.array([number]), ids.slice(0, 1).fill_null(_NO_ID), all_ids, *lists],
             ["shard", "least", "doc_ids", "terms", "places", "parts", "firsts"],
         )
 
@@ -163,12 +171,17 @@ def shards(rows: DataFrame, n_docs: int, n_terms: int, size: int) -> DataFrame:
 
 
 class Shard:
-    """One shard's max trees, as arrays."""
+    """One shard's max trees, as arrays; ids: its documents', levels: as ``levels`` gives them."""
+
+    def __init__(self, ids: pa.Array, levels: list[tuple[np.ndarray, ...]]) -> None:
+        self.ids, self.levels = ids, levels
+        self.order = ids.fill_null(_NO_ID).to_numpy()
 
-    def __init__(self, row: dict) -> None:
-        self.ids = row["doc_ids"]
-        self.order = np.array([_NO_ID if x is None else x for x in self.ids], np.int64)
-        self.levels = [tuple(np.array(row[c][i], np.int64) for c in ("terms", "places", "parts", "firsts")) for i in range(len(row["terms"]))]
+    @classmethod
+    def of(cls, row: pa.RecordBatch) -> Shard:
+        """From a ``SHARD_ROW``, without copies."""
+        trees = [[x.values.to_numpy(zero_copy_only=False) for x in row[c][0].values] for c in ("terms", "places", "parts", "firsts")]
+        return cls(row["doc_ids"][0].values, list(zip(*trees, strict=True)))
 
     def best(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: int) -> list[tuple[int, int]]:
         """(score, place) of the at most ``k`` best documents with a score of at least ``floor``; best first."""
@@ -226,12 +239,13 @@ def searched(index: DataFrame, wanted: DataFrame, items: dict, k: int, few: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                shard, out = Shard(row), []
-                for want in row["wanted"]:
-                    out += [(want["item"], shard.ids[place], score) for score, place in shard.best(*items[want["item"]], k, want["floor"])]
-                columns = list(zip(*out, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["item", "doc_id", "score"])
+            for row in (batch.slice(i, 1) for i in range(batch.num_rows)):
+                shard, out = Shard.of(row), []
+                for want in row["wanted"][0].as_py():
+                    out += [(want["item"], place, score) for score, place in shard.best(*items[want["item"]], k, want["floor"])]
+                item, place, score = list(zip(*out, strict=True)) or [(), (), ()]
+                ids = shard.ids.take(pa.array(place, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), ids, pa.array(score, pa.int64())], ["item", "doc_id", "score"])
 
     asked = wanted.groupBy("shard").agg(F.collect_list(F.struct("item", "floor")).alias("wanted"))  # no more than a block has items
     return index.join(F.broadcast(asked) if few else asked, "shard").mapInArrow(run, "item long, doc_id long, score long")

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quoteloom.llm import ranked_search
@@ -75,8 +76,7 @@ def test_tree_and_branch_and_bound():
         term, place = np.nonzero(dense)
         tree = ranked_search.levels(term, place, dense[term, place], size)
         assert set(tree[-1][1].tolist()) <= {0} and tree[-1][2].tolist() == [x.max() for x in dense if x.any()]
-        row = {"doc_ids": list(range(size))} | {c: [x[i].tolist() for x in tree] for i, c in enumerate(("terms", "places", "parts", "firsts"))}
-        shard, terms, weights = ranked_search.Shard(row), np.array([0, 3, 4, 8]), np.array([5, 1, 0, 2])
+        shard, terms, weights = ranked_search.Shard(pa.array(range(size)), tree), np.array([0, 3, 4, 8]), np.array([5, 1, 0, 2])
         scores = weights @ dense[terms]
         want = [(s, p) for s, p in sorted(zip((-scores).tolist(), range(size)))[:10] if s < 0]
         assert [(-s, p) for s, p in shard.best(terms, weights, 10, 1)] == want
