@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, media, ngram_join, pieces, quality, ranked_search, substring_dedup, token_files, tool_calls, turn_repair, warc
+from . import decontaminate, line_dedup, media, ngram_join, pieces, quality, ranked_search, substring_dedup, token_files, tool_calls, turn_repair, vector_search, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), n=35)
 
 
+def op11_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
@@ -77,10 +81,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_warc": op9_warc,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_vector_search": op11_vector_search,
         "op12_ranked_search": op12_ranked_search,
         "op13_conversation_repair": op13_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": decontaminate.ORACLE, "op12_ranked_search": ranked_search.ORACLE}
+    return {"op6_benchmark_decontamination": decontaminate.ORACLE, "op11_vector_search": vector_search.ORACLE, "op12_ranked_search": ranked_search.ORACLE}
