@@ -73,3 +73,23 @@ def provider_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 2).cast("int").alias("provider"), F.col("n_name").alias("home"), F.col("c_mktsegment").alias("away"),
         F.col("o_orderpriority").alias("competition"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("start_ms"),
     )
+
+
+def priced(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """Current prices with period and provenance: event, period, slot, book, odds, observed_ms, leg_id, status, confidence, suspended and the slot's columns.
+
+    A returned line item is a price of the first half, others are of the whole match. A book's source is its last digit; the
+    status is that of the source's last run. Confidence comes from the part's size, the smallest have none. ``lines``: some line items instead of all.
+    """
+    line = (table(spark, sf_dir, "lineitem") if lines is None else lines).select(
+        F.col("l_partkey").alias("event"), F.when(F.col("l_returnflag") == "R", "FIRST_HALF").otherwise("FULL_TIME").alias("period"), (F.col("l_orderkey") % 12).cast("int").alias("slot"),
+        F.col("l_suppkey").alias("book"), "l_discount", "l_tax", F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("ms"), (F.col("l_quantity") == 1).alias("suspended"),
+    )
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("event"), F.when(F.col("p_size") > 3, F.round(0.77 + F.col("p_size") / 250, 3)).alias("confidence"))
+    price = F.max(F.round(F.col("base") + F.col("l_discount") * 4 + F.col("l_tax") * 2, 2))
+    leg = F.concat_ws(":", F.lpad(F.col("event").cast("string"), 9, "0"), F.substring("period", 1, 2), F.lpad(F.col("slot").cast("string"), 2, "0"), F.lpad(F.col("book").cast("string"), 9, "0"))
+    keys = ["event", "period", "slot", "book", "family", "market_type", "participant", "line_c", "outcome"]
+    found = line.join(F.broadcast(slots(spark)), "slot").groupBy(*keys).agg(price.alias("odds"), F.max("ms").alias("observed_ms"), F.bool_and("suspended").alias("suspended"))
+    status = runs(spark, sf_dir).groupBy("source").agg(F.max_by("status", F.struct("started_ms", "run_id")).alias("status"))  # ten rows
+    found = found.withColumn("source", F.col("book") % 10).join(F.broadcast(status), "source", "left").join(part, "event", "left")
+    return found.drop("source").withColumn("leg_id", leg)
