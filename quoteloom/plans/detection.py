@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import detection
+from ..operators import detection, register
 from ..sources import binding
 from .oracles import _MULT, _STATES
 
@@ -124,3 +124,34 @@ def detection_episodes(spark, sf_dir):
         found = detection.opportunities(detection.scanned(prices, binding.slots(spark), policy), policy)
         episodes = detection.folded(episodes, found, now)
     return episodes
+
+
+#: Events that start before this are stored already; the others are observed in the order of their start.
+STORED_UNTIL_MS, ROUNDS = 789_523_200_000, 8
+_NEAR = 7_200_000
+
+
+def _round_sql(k: int) -> str:
+    """One round: who is free, who creates, what the others are, which sources are bound, who is a duplicate then."""
+    return f""", f{k} AS MATERIALIZED (SELECT ob.* FROM ob ANTI JOIN d{k - 1} ON d{k - 1}.id = ob.id),
+c{k} AS MATERIALIZED (SELECT arg_min(id, (at_ms, id)) AS id, home, away, arg_min(competition, (at_ms, id)) AS competition, arg_min(start_ms, (at_ms, id)) AS start_ms FROM f{k} ANTI JOIN sd ON sd.home = f{k}.home AND sd.away = f{k}.away WHERE home <> away GROUP BY home, away),
+s{k} AS (SELECT id, home, away, competition, start_ms FROM sd UNION ALL SELECT id, home, away, competition, start_ms FROM c{k}),
+m{k} AS (SELECT f.id, s.id AS other, 0.5 + CASE WHEN abs(f.start_ms - s.start_ms) <= {_NEAR} THEN 0.3 ELSE 0 END + CASE WHEN f.competition = s.competition THEN 0.2 ELSE -0.2 END AS score FROM f{k} f JOIN s{k} s ON s.home = f.home AND s.away = f.away),
+b{k} AS (SELECT id, arg_max(other, (score, -other)) AS other, max(score) AS score FROM m{k} GROUP BY id),
+x{k} AS MATERIALIZED (SELECT f.*, CASE WHEN c.id IS NOT NULL THEN 'created' WHEN score >= 0.8 THEN 'merged' ELSE 'uncertain' END AS action, CASE WHEN c.id IS NOT NULL THEN c.id WHEN score >= 0.8 THEN other END AS event_id,
+  CASE WHEN c.id IS NOT NULL THEN 1.0 WHEN score >= 0.8 THEN score ELSE 0.0 END AS confidence FROM f{k} f LEFT JOIN c{k} c ON c.id = f.id LEFT JOIN b{k} b ON b.id = f.id),
+y{k} AS (SELECT provider, source_id, arg_min(event_id, (at_ms, id)) AS bound, min((at_ms, id)) AS at FROM (
+  SELECT provider, source_id, event_id, at_ms, id FROM x{k} WHERE event_id IS NOT NULL UNION ALL SELECT provider, source_id, id, -1, id FROM sd) GROUP BY provider, source_id),
+d{k} AS MATERIALIZED (SELECT ob.id, bound FROM ob JOIN y{k} USING (provider, source_id) WHERE (ob.at_ms, ob.id) > y{k}.at)"""
+
+
+@query(f"""WITH pe AS (SELECT o_orderkey AS id, o_orderkey % 2 AS provider, o_orderkey // 8 AS source_id, n_name AS home, c_mktsegment AS away, o_orderpriority AS competition, epoch_ms(o_orderdate) AS start_ms, epoch_ms(o_orderdate) AS at_ms
+      FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+    sd AS MATERIALIZED (SELECT * FROM pe WHERE start_ms < {STORED_UNTIL_MS}), ob AS MATERIALIZED (SELECT * FROM pe WHERE start_ms >= {STORED_UNTIL_MS}),
+    d0 AS (SELECT id, id AS bound FROM ob WHERE false){''.join(_round_sql(k) for k in range(1, ROUNDS + 1))}
+    SELECT id, action, event_id, CAST(confidence AS DOUBLE) AS confidence, false AS duplicate FROM x{ROUNDS} UNION ALL SELECT id, 'merged', bound, 1.0, true FROM d{ROUNDS}""")
+def event_register(spark, sf_dir):
+    """What each observation becomes after the events that are stored: a source names two providers' events by eights of their ids."""
+    events = binding.provider_events(spark, sf_dir).withColumn("source_id", F.floor(F.col("id") / 8)).withColumn("at_ms", F.col("start_ms"))
+    before = F.col("start_ms") < STORED_UNTIL_MS
+    return register.register(events.where(~before), events.where(before), _NEAR)
