@@ -11,12 +11,16 @@ A window is ``n`` consecutive words of one document; it is repeated if the same
    and it occurs at two places.
 3. *Extension.* Windows that hold a hit are candidates; those whose whole word sequence occurs twice among the
    candidates are repeated. Both copies of a repeated window hold the same anchor, so both are candidates and
-   nothing is lost. The union of repeated windows is the union of the maximal repeats of ``n`` words or more.
+   nothing is lost. The union of repeated windows is the union of the maximal repeats of ``n`` words or more. Sequences
+   are compared by 128-bit BLAKE2 digests of the words themselves, so a chance hit of anchors removes nothing.
 
-No pairs are ever formed: each step counts rows of a hash, so a passage of N copies costs N rows. Hashes are 64 bits.
+No pairs are ever formed: each step counts rows of a hash, so a passage of N copies costs N rows. A hash that a batch
+has often enough to prove itself (two places, one of them indexed) sends its proof only; its other rows are known to be
+hits and are shuffled under keys of their own, so a frequent passage is no hot key. Hashes of anchors and of whole
+texts have 64 bits; anchors are verified, equal texts are not.
 
 Defined results: null and empty texts have no words; rows that repeat a document are copies of it; documents may
-share a ``doc_id``; an empty table gives an empty result. Other columns are ignored.
+share a ``doc_id``; an empty table gives an empty result. Very long texts are read whole, by one task. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -90,6 +94,29 @@ def selected_blocks(words: np.ndarray, row: np.ndarray, n: int, block: int) -> t
     return at, rolled[at]
 
 
+def proofs(keys: np.ndarray, text: np.ndarray, place: np.ndarray, block: int) -> np.ndarray:
+    """Which rows of a batch are known to hit without any others: those of keys (rows of 64-bit numbers) that have two places
+    and one at a multiple of ``block`` here, but for three rows a key that prove it elsewhere."""
+    sure = np.zeros(len(text), bool)
+    if not len(text):
+        return sure
+    order = np.lexsort((place, text, *keys.T))
+    keys, text, place = keys[order], text[order], place[order]
+    first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+    past = np.append(first[1:], len(text))
+    for a, b in zip(first[past - first > 3].tolist(), past[past - first > 3].tolist(), strict=True):
+        on = np.flatnonzero(place[a:b] % block == 0)
+        if len(on) and (text[a] != text[b - 1] or place[a] != place[b - 1]):
+            sure[order[a:b]] = True
+            sure[order[[a, a + on[0], b - 1]]] = False
+    return sure
+
+
+def own_keys(text: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A key for each row by its text and place, so that rows of one hash spread."""
+    return textscan.mix(text.view(np.uint64) ^ textscan.mix(place.astype(np.uint64)))
+
+
 def anchors(docs: DataFrame, n: int, block: int) -> DataFrame:
     """text_hash, places: the starts of the blocks of each text that hit."""
 
@@ -97,14 +124,17 @@ def anchors(docs: DataFrame, n: int, block: int) -> DataFrame:
         for _, words, edge in _per_row(batches):
             at, hashes = selected_blocks(words.hash, words.row, n, block)
             row = words.row[at]
-            texts = np.array([text_hash(words.hash[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(textscan.signed(hashes)), pa.array(texts[row]), pa.array((at - edge[row]).astype(np.int32))], ["h", "text_hash", "place"])
+            texts = np.array([text_hash(words.hash[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], np.int64)[row]
+            place = at - edge[row]
+            sure = proofs(hashes[:, None], texts, place, block)
+            hashes[sure] = own_keys(texts[sure], place[sure])
+            yield pa.RecordBatch.from_arrays([pa.array(textscan.signed(hashes)), pa.array(texts), pa.array(place.astype(np.int32)), pa.array(sure)], ["h", "text_hash", "place", "sure"])
 
-    rows = docs.select("text").mapInArrow(run, "h long, text_hash long, place int")
+    rows = docs.select("text").mapInArrow(run, "h long, text_hash long, place int, sure boolean")
     same = Window.partitionBy("h")
     twice = (F.min("text_hash").over(same) != F.max("text_hash").over(same)) | (F.min("place").over(same) != F.max("place").over(same))
     indexed = F.min(F.col("place") % block).over(same) == 0
-    return rows.select("*", twice.alias("twice"), indexed.alias("indexed")).where("twice and indexed").groupBy("text_hash").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    return rows.select("*", twice.alias("twice"), indexed.alias("indexed")).where("sure or (twice and indexed)").groupBy("text_hash").agg(F.array_sort(F.collect_set("place")).alias("places"))
 
 
 def repeated_windows(docs: DataFrame, hits: DataFrame, n: int, block: int) -> DataFrame:
@@ -112,23 +142,35 @@ def repeated_windows(docs: DataFrame, hits: DataFrame, n: int, block: int) -> Da
 
     def run(batches):
         for piece, words, edge in _per_row(batches):
-            rolled = textscan.roll(words.hash, n)
+            count = max(0, len(words.start) - n + 1)
             hit = np.zeros(len(words.start) + 1, np.int64)
             wanted, places = piece["text_hash"].to_numpy(), piece["places"].to_pylist()
             for a, b, text, some in zip(edge[:-1], edge[1:], wanted, places, strict=True):
                 if text_hash(words.hash[a:b]) == text:
                     hit[a + np.array(some)] = 1
             before = np.concatenate([[0], np.cumsum(hit)])
-            start = np.arange(len(rolled))
-            good = (words.row[: len(rolled)] == words.row[n - 1 :][: len(rolled)]) & (before[start + n - block + 1] > before[start])
+            start = np.arange(count)
+            good = (words.row[:count] == words.row[n - 1 :][:count]) & (before[start + n - block + 1] > before[start])
             at = np.flatnonzero(good)
             row = words.row[at]
-            yield pa.RecordBatch.from_arrays([pa.array(textscan.signed(rolled[at])), pa.array(wanted[row]), pa.array((at - edge[row]).astype(np.int32))], ["h", "text_hash", "place"])
+            digests, data = np.zeros((len(at), 2), np.int64), words.data.tobytes()
+            for i in np.unique(row).tolist():
+                a, b = int(edge[i]), int(edge[i + 1])
+                spans = list(zip(words.start[a:b].tolist(), words.end[a:b].tolist(), strict=True))
+                joined = memoryview(b" ".join(data[x:y] for x, y in spans))
+                starts = np.concatenate([[0], np.cumsum(np.array([y - x + 1 for x, y in spans]))]).tolist()
+                mine = slice(*np.searchsorted(row, [i, i + 1]).tolist())
+                found = b"".join(hashlib.blake2b(joined[starts[k] : starts[k + n] - 1], digest_size=16).digest() for k in (at[mine] - a).tolist())
+                digests[mine] = np.frombuffer(found, np.int64).reshape(-1, 2)
+            texts, place = wanted[row], at - edge[row]
+            sure = proofs(digests, texts, place, 1)
+            digests[sure, 0] = textscan.signed(own_keys(texts[sure], place[sure]))
+            yield pa.RecordBatch.from_arrays([pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(texts), pa.array(place.astype(np.int32)), pa.array(sure)], ["h", "g", "text_hash", "place", "sure"])
 
     texts = store.only(docs, hits.select("key"), "key").join(hits, "key")
-    rows = texts.select("text", "text_hash", "places").mapInArrow(run, "h long, text_hash long, place int")
-    twice = F.count("*").over(Window.partitionBy("h")) > 1
-    return rows.select("*", twice.alias("twice")).where("twice").groupBy("text_hash").agg(F.array_sort(F.collect_set("place")).alias("starts"))
+    rows = texts.select("text", "text_hash", "places").mapInArrow(run, "h long, g long, text_hash long, place int, sure boolean")
+    twice = F.count("*").over(Window.partitionBy("h", "g")) > 1
+    return rows.select("*", twice.alias("twice")).where("sure or twice").groupBy("text_hash").agg(F.array_sort(F.collect_set("place")).alias("starts"))
 
 
 def cut_words(docs: DataFrame, found: DataFrame, n: int) -> DataFrame:

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quoteloom.llm import textscan
-from quoteloom.llm.substring_dedup import substring_dedup
+from quoteloom.llm.substring_dedup import own_keys, proofs, substring_dedup
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -42,6 +42,28 @@ def test_equals_brute_force(spark, seed, n):
     assert sorted(map(tuple, got.collect()), key=repr) == brute(docs, n)
 
 
+def test_frequent_passage_and_long_text(spark):
+    """A passage of hundreds of copies at all offsets, one of them in a text of 200,000 words."""
+    rng = random.Random(9)
+    word = lambda: "w%d" % rng.randrange(10**9)
+    passage = " ".join(word() for _ in range(50))
+    docs = [(i, " ".join([*(word() for _ in range(rng.randrange(40))), passage, *(word() for _ in range(rng.randrange(9)))])) for i in range(300)]
+    docs.append((900, " ".join(word() for _ in range(100_000)) + " " + passage + " " + " ".join(word() for _ in range(100_000))))
+    got = substring_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 35)
+    rows = sorted(map(tuple, got.collect()), key=repr)
+    assert rows == brute(docs, 35) and {r[2] for r in rows} == {50}
+
+
+def test_proofs():
+    """Of a key that proves itself all rows but three are sure; of others none."""
+    keys = np.array([7] * 6 + [8] * 5 + [9] * 5 + [6] * 3)[:, None]
+    text = np.array([1, 1, 2, 2, 3, 3] + [1] * 5 + [4] * 5 + [1, 2, 3])
+    place = np.array([3, 9, 10, 11, 12, 13] + [1, 2, 3, 4, 6] + [5] * 5 + [0, 5, 10])
+    sure = proofs(keys, text, place, 5)
+    assert sure[:6].sum() == 3 and not sure[[0, 2, 5]].any() and not sure[6:].any()
+    assert len(np.unique(own_keys(text[:6], place[:6]))) == 6
+
+
 def test_empty(spark):
     assert substring_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
