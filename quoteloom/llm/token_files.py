@@ -3,14 +3,14 @@
 Documents are range-partitioned by ``doc_id``; each partition encodes its texts and writes
 
 * ``part-NNNNN.bin``: the ids of its documents, little-endian, 16 bits each if the vocabulary allows, else 32;
-* ``part-NNNNN.idx``: the magic ``QLTOKID1``, bytes per id, document count (both 64-bit), then count + 1
-  offsets in ids, then the document ids, all 64-bit.
+* ``part-NNNNN.idx``: the magic ``QLTOKID2``, bytes per id, document count, how many of the first documents have no
+  id (all 64-bit), then count + 1 offsets in ids, then the document ids, all 64-bit.
 
 A manifest has one row per partition; the prefix sum of its token counts is the base of each file, so a
 global position needs no pass over the ids. Files are read back memory-mapped.
 
 Defined results: a null or empty text has only the end id; documents with equal ``doc_id`` are kept, in the
-order of their texts; a null ``doc_id`` sorts first; no documents, no files and an empty result. Other columns of the input are ignored.
+order of their texts; a null ``doc_id`` sorts first; no documents, no files and an empty result; very long texts are encoded whole, by one task. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +29,7 @@ from pyspark.sql.window import Window
 
 from . import store, textscan
 
-MAGIC = b"QLTOKID1"
-NULL_ID = -(1 << 63)
+MAGIC = b"QLTOKID2"
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -159,23 +158,23 @@ def encoder(vocabulary: str) -> RunEncoder:
     return _encoders[vocabulary]
 
 
-def index_bytes(width: int, offsets: np.ndarray, doc_ids: np.ndarray) -> bytes:
-    return MAGIC + struct.pack("<QQ", width, len(doc_ids)) + offsets.astype("<u8").tobytes() + doc_ids.astype("<i8").tobytes()
+def index_bytes(width: int, offsets: np.ndarray, doc_ids: np.ndarray, nulls: int = 0) -> bytes:
+    return MAGIC + struct.pack("<QQQ", width, len(doc_ids), nulls) + offsets.astype("<u8").tobytes() + doc_ids.astype("<i8").tobytes()
 
 
-def read_index(buffer) -> tuple[int, np.ndarray, np.ndarray]:
-    """(bytes per id, offsets, document ids) of an index file; raises ``ValueError`` on a damaged one."""
+def read_index(buffer) -> tuple[int, np.ndarray, np.ndarray, int]:
+    """(bytes per id, offsets, document ids, how many of the first documents have none) of an index file; raises ``ValueError`` on a damaged one."""
     view = memoryview(buffer)
-    if len(view) < 24 or bytes(view[:8]) != MAGIC:
+    if len(view) < 32 or bytes(view[:8]) != MAGIC:
         raise ValueError("not a token index")
-    width, n = struct.unpack("<QQ", view[8:24])
-    if width not in (2, 4) or len(view) != 24 + 8 * (2 * n + 1):
+    width, n, nulls = struct.unpack("<QQQ", view[8:32])
+    if width not in (2, 4) or nulls > n or len(view) != 32 + 8 * (2 * n + 1):
         raise ValueError("a token index of the wrong length")
-    numbers = np.frombuffer(view[24:], "<u8")
+    numbers = np.frombuffer(view[32:], "<u8")
     offsets = numbers[: n + 1].astype(np.int64)
     if offsets[0] != 0 or (np.diff(offsets) < 0).any():
         raise ValueError("offsets that go back")
-    return width, offsets, numbers[n + 1 :].view("<i8")
+    return width, offsets, numbers[n + 1 :].view("<i8"), nulls
 
 
 def _writer(folder: str, vocabulary: str, end_id: int):
@@ -185,7 +184,7 @@ def _writer(folder: str, vocabulary: str, end_id: int):
         part = TaskContext.get().partitionId()
         bpe = encoder(vocabulary)
         width = 2 if max(bpe.size, end_id + 1) <= 1 << 16 else 4
-        docs, lengths = [], []
+        docs, lengths, nulls = [], [], []
 
         def chunks():
             for batch in batches:
@@ -194,7 +193,8 @@ def _writer(folder: str, vocabulary: str, end_id: int):
                     n = np.diff(at)
                     out = np.full(len(ids) + len(n), end_id, f"<u{width}")
                     out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
-                    docs.append(piece.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
+                    docs.append(piece.column(0).fill_null(0).to_numpy(zero_copy_only=False))
+                    nulls.append(piece.column(0).null_count)  # these come first in a partition
                     lengths.append(n + 1)
                     yield out.tobytes()
 
@@ -203,7 +203,7 @@ def _writer(folder: str, vocabulary: str, end_id: int):
         if not docs:
             return
         n = np.concatenate(lengths)
-        store.write_bytes(path + ".idx", [index_bytes(width, np.concatenate([[0], np.cumsum(n)]), np.concatenate(docs))])
+        store.write_bytes(path + ".idx", [index_bytes(width, np.concatenate([[0], np.cumsum(n)]), np.concatenate(docs), sum(nulls))])
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["part", "path", "n_docs", "n_tokens"])
 
     return run
@@ -224,13 +224,13 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch["path"].to_pylist(), batch["base"].to_pylist(), strict=True):
-                width, offsets, doc_ids = read_index(store.read_bytes(path + ".idx"))
+                width, offsets, doc_ids, nulls = read_index(store.read_bytes(path + ".idx"))
                 ids = np.frombuffer(store.read_bytes(path + ".bin"), f"<u{width}")
                 if len(ids) != offsets[-1]:
                     raise ValueError(f"{path}: {len(ids)} ids, the index says {offsets[-1]}")
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, mask=doc_ids == NULL_ID), pa.array(base + offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())],
+                    [pa.array(doc_ids, mask=np.arange(len(doc_ids)) < nulls), pa.array(base + offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 

@@ -39,11 +39,11 @@ def test_any_text(texts):
 
 def test_files_and_edges(spark, tmp_path):
     rng = random.Random(3)
-    rows = [(rng.randrange(1000), rng.choice(SAMPLES), "x") for _ in range(60)] + [(None, "null id", "x")]
+    rows = [(rng.randrange(1000), rng.choice(SAMPLES), "x") for _ in range(60)] + [(None, "null id", "x"), (None, "another", "x"), (-(1 << 63), "the smallest id", "x"), (5, "long text " * 30_000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
     got = token_files.read_token_files(token_files.write_token_files(docs, vocabulary_path(), 2)).collect()
     want, start = [], 0
-    for doc_id, text in sorted(((a, b) for a, b, _ in rows), key=lambda r: (-1 if r[0] is None else r[0], b"" if r[1] is None else b"\x00" + r[1].encode())):
+    for doc_id, text in sorted(((a, b) for a, b, _ in rows), key=lambda r: (r[0] is not None, r[0] or 0, b"" if r[1] is None else b"\x00" + r[1].encode())):
         ids = plain([text])[0] + [2]
         want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
