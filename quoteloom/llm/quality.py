@@ -166,8 +166,8 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Trees:
-    """Fits on at most ``max_rows`` labelled documents that aren't held out."""
-    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    """Fits on at most ``max_rows`` labels of documents that aren't held out; of documents of one id, on the least statistics."""
+    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)  # bounded, so it may be broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Trees:
             for piece in textscan.pieces(batch, "text", textscan.PIECE_BYTES):
                 yield pa.RecordBatch.from_arrays([piece["doc_id"], piece["quality"], pa.array(list(statistics(piece["text"])), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
-    found = texts.mapInArrow(run, "doc_id long, quality int, x array<double>").limit(4 * max_rows).toPandas()
+    found = texts.mapInArrow(run, "doc_id long, quality int, x array<double>").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas()  # a row a label
     x = np.array(found["x"].to_list(), np.float64).reshape(len(found), len(STATISTICS))
     y = found["quality"].to_numpy(np.float64)
     order = np.lexsort((*x.T, y, found["doc_id"].to_numpy(np.int64)))

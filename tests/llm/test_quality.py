@@ -59,3 +59,13 @@ def test_edges(spark):
     assert all(r["score"] > 0.5 for r in quality.score(docs, quality.train(docs, one)).collect())
     assert quality.score(docs.limit(0), quality.train(docs.limit(0), one)).collect() == []
     assert quality.keep(docs, quality.train(docs, one)).count() == 5
+
+
+def test_repeated_and_long_documents(spark):
+    """Rows of one id are one document of the fit, however many there are, so repeats change no score; long texts are read whole."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    again = quality.train(docs.union(docs).union(docs.where("doc_id < 20")), labels.union(labels))
+    long = spark.createDataFrame([(1, "word " * 300_000), (2, ""), (3, None)], "doc_id long, text string")
+    rows = lambda m: sorted(map(tuple, quality.score(docs.select("doc_id", "text").union(long), m).collect()))
+    assert rows(model) == rows(again)
