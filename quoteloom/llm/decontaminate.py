@@ -9,7 +9,8 @@ One pass over the documents: an extra probe at the end of each document always m
 come out of the same join, and one small aggregation by document follows.
 
 Defined results: null and empty texts have no words and no hits; rows equal in doc_id and text are found once (``scan``),
-but each has its row in the report; very long texts are cut into words whole, in one row; items with equal ids are one item; null items, and items without words, hit nothing; with an empty benchmark
+but each has its row in the report; very long texts are cut into words whole, in one row; items with equal ids are one item; windows of an item without an id hit words
+and contaminate, but the item is not counted or named; items without words hit nothing; with an empty benchmark
 nothing is hit. Other columns are ignored (``scan``) or kept (``remove``).
 """
 
@@ -38,7 +39,7 @@ def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
     words = F.col("words")
     count = F.size(words)
     grams = F.when(count >= n, F.transform(F.sequence(F.lit(1), F.greatest(count - n + 1, F.lit(1))), lambda i: F.slice(words, i, n))).when(count > 0, F.array(words))
-    items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", words_of(F.col("text")).alias("words"))
+    items = benchmark.select("item_id", words_of(F.col("text")).alias("words"))
     return items.select("item_id", F.explode(grams).alias("gram")).distinct()
 
 
@@ -130,7 +131,7 @@ ORACLE = r"""
 WITH dw AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 bw AS (
-  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
 g AS (
   SELECT DISTINCT item_id, list_slice(w, i, i + least(10, len(w)) - 1) AS gram, least(10, len(w)) AS width
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM bw WHERE len(w) > 0)),
@@ -140,7 +141,7 @@ h AS (
   SELECT p.doc_id, p.i, g.item_id, g.width FROM p JOIN widths ON p.i + widths.width - 1 <= len(p.w)
   JOIN g ON g.width = widths.width AND g.gram = list_slice(p.w, p.i, p.i + widths.width - 1)),
 c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + width)) AS k FROM h) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)

@@ -18,15 +18,16 @@ def brute(docs, items, n=10):
     grams = {}
     for item, text in items:
         w = words(text)
-        if item is not None and w:
-            for i in range(max(1, len(w) - n + 1)):
-                grams.setdefault(tuple(w[i : i + n]), set()).add(item)
+        for i in range(max(1, len(w) - n + 1) if w else 0):
+            found = grams.setdefault(tuple(w[i : i + n]), set())
+            if item is not None:
+                found.add(item)
     out = set()
     for doc_id, text in docs:
         w, hit, found = words(text), set(), set()
         for size in {len(g) for g in grams}:
             for i in range(len(w) - size + 1):
-                if g := grams.get(tuple(w[i : i + size])):
+                if (g := grams.get(tuple(w[i : i + size]))) is not None:
                     hit.update(range(i, i + size))
                     found |= g
         names = sorted(map(str, found))
