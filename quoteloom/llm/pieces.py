@@ -100,6 +100,25 @@ class Lattice:
         return out
 
 
+def least_sums(options: list[list[tuple]], n: int) -> list[tuple]:
+    """The ``n`` choices of one of each list with the least sums of first fields, best first; each list is ascending.
+
+    A heap holds the choices next to those taken: one list is moved on by one, so at most n times as many as lists are ever made.
+    """
+    cost = lambda at: sum(x[i][0] for x, i in zip(options, at, strict=True))
+    start = (0,) * len(options)
+    heap, met, out = [(cost(start), start)], {start}, []
+    while heap and len(out) < n:
+        _, at = heapq.heappop(heap)
+        out.append(tuple(x[i] for x, i in zip(options, at, strict=True)))
+        for j in range(len(at)):
+            after = (*at[:j], at[j] + 1, *at[j + 1 :])
+            if after[j] < len(options[j]) and after not in met:
+                met.add(after)
+                heapq.heappush(heap, (cost(after), after))
+    return out
+
+
 class PieceEncoder:
     """Encodes batches; best segmentations of runs are kept in a memo of bounded size."""
 
@@ -172,7 +191,7 @@ class PieceEncoder:
             top = float(scores[a:b, 0].sum()) if b - a < 1 << 16 else float(best[b] - best[a])
             some = [int(r) for r in by_gap[a : min(b, a + self.n - 1)] if np.isfinite(gap[r])]
             options = [[(float(scores[r, 0] - scores[r, k]), r, k) for k in range(self.n) if np.isfinite(scores[r, k])] for r in some]
-            combined = heapq.nsmallest(self.n, itertools.product(*options), key=lambda c: sum(x[0] for x in c))
+            combined = least_sums(options, self.n)
             found = []
             for change in combined:
                 parts, done = [], a

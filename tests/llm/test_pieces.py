@@ -81,3 +81,15 @@ def test_frames(spark):
     assert len(empty) == 2 and all(list(r["nbest_scores"]) == [0.0] and r["ids_crc32"] == zlib.crc32(b"") for r in empty)
     assert all(len(r["nbest_crc32"]) == 3 and r["nbest_crc32"][0] == r["ids_crc32"] for r in got if r["n_pieces"])
     assert pieces.report(docs.limit(0), MODEL).collect() == []
+
+
+def test_least_sums():
+    rng = random.Random(2)
+    for _ in range(200):
+        options = [[(c, i, k) for k, c in enumerate(sorted([0.0, *(rng.randrange(5) for _ in range(rng.randrange(4)))]))] for i in range(rng.randrange(5))]
+        for n in (1, 3, 10):
+            want = sorted(sum(x[0] for x in c) for c in itertools.product(*options))[:n]
+            got = pieces.least_sums(options, n)
+            assert [sum(x[0] for x in c) for c in got] == want and len(set(got)) == len(got)
+    many = [[(0.0, i, 0), (1.0, i, 1)] for i in range(60)]
+    assert len(pieces.least_sums(many, 50)) == 50
