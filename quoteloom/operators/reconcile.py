@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import cut
 from . import ops
 
 #: Providers from the most trusted one; others come after them.
@@ -33,61 +34,86 @@ def _islands(events: DataFrame, near_ms: int) -> DataFrame:
     return k.join(f, same).select(*(F.col(f"k.{c}") for c in events.columns), "f.island")
 
 
+class Roots:
+    """The roots of an island by their time: of equal providers, competition and start only the first can ever be the best."""
+
+    def __init__(self, near_ms: int) -> None:
+        self.near_ms, self.buckets, self.count = near_ms, {}, 0
+
+    def add(self, event, providers: frozenset, competition, start: int) -> None:
+        self.count += 1
+        self.buckets.setdefault(start // self.near_ms, {}).setdefault((providers, competition, start), (self.count, event))
+
+    def held_against(self, providers: frozenset, competition, start: int) -> tuple[tuple | None, tuple | None]:
+        """(id, score) of the best root that an event surely is, and of the first near one that it may be."""
+        best = near = None
+        for bucket in range(start // self.near_ms - 1, start // self.near_ms + 2):
+            for (other, theirs, at), (number, event) in self.buckets.get(bucket, {}).items():
+                if abs(at - start) > self.near_ms or not other.isdisjoint(providers):
+                    continue
+                score = 0.8 if competition is None or theirs is None else 1.0 if competition == theirs else 0.6
+                mine = (-score, number, event)
+                if score >= 0.8:
+                    best = mine if best is None else min(best, mine)
+                else:
+                    near = mine if near is None else min(near, mine)
+        return best and (best[2], -best[0]), near and (near[2], -near[0])
+
+
 def fold_events(events: DataFrame, near_ms: int = NEAR_MS) -> DataFrame:
     """The merge plan of stored events: id, winner_id, score, uncertain_id, uncertain_score, members.
 
-    events: id, provider, home, away, competition, start_ms, created_ms, teams by their canonical names. In the order
-    of trust, creation and id each event is held against the roots before it of other providers: of those it is sure
+    events: id, provider or providers (an array: an event that several name), home, away, competition, start_ms, created_ms, teams by
+    their canonical names. In the order of trust (that of the best provider), creation and id each event is held against the roots before it that
+    no provider of its names: of those it is sure
     about (equal teams, near start, competitions not different: 0.8 or 1.0) it joins the best, the first of equal
     ones; else it is a root itself, and the best root it is not sure about is named.
 
-    Sure pairs are near, so the fold runs over islands of near events with the island's roots as its state. Roots that
-    are far can only be uncertain, and of those of a competition and a provider only the first can be the best: for two
+    Sure pairs are near, so the fold runs over islands of near events with the island's roots as its state, found by their time: an
+    event meets the distinct starts near its own, not all roots. Roots that
+    are far can only be uncertain, and of those of a competition and a set of providers only the first can be the best: for two
     teams an array of a few rows, found by aggregation. Events without a team, or a start, are roots of their own and
-    held against none.
+    held against none. The fold runs once; its result is cut off from the plan.
     """
     order = ["rank", "created_ms", "id"]
-    ranked = _islands(events.select("id", "provider", "home", "away", "competition", "start_ms", "created_ms", provider_rank(F.col("provider")).alias("rank")), near_ms)
+    providers = F.array_sort("providers") if "providers" in events.columns else F.array("provider")
+    named = events.select("id", providers.alias("providers"), "home", "away", "competition", "start_ms", "created_ms")
+    rank = F.coalesce(F.array_min(F.transform("providers", provider_rank)), F.lit(len(PRIORITY)))
+    ranked = _islands(named.withColumn("rank", rank), near_ms)
 
     def step(roots, row):
-        home, away, _, rank, created, event, provider, competition, start = row
+        home, away, _, rank, created, event, providers, competition, start = row
         best = near = None
         if home is not None and away is not None and start is not None:
-            roots = [] if roots is None else roots
-            for other, other_provider, other_competition, other_start in roots:
-                if other_provider == provider or abs(other_start - start) > near_ms:
-                    continue
-                apart = competition is not None and other_competition is not None
-                score = 0.8 if not apart else 1.0 if competition == other_competition else 0.6
-                if score >= 0.8:
-                    best = (other, score) if best is None or score > best[1] else best
-                else:
-                    near = near or (other, score)
+            roots = Roots(near_ms) if roots is None else roots
+            own = frozenset(providers or ())
+            best, near = roots.held_against(own, competition, start)
             if best is None:
-                roots.append((event, provider, competition, start))
+                roots.add(event, own, competition, start)
         winner, score = best or (event, None)
-        known = (home, away, rank, created, event, provider, competition)
+        known = (home, away, rank, created, event, providers, competition)
         return roots, (*known, winner, score, *((near or (None, None)) if best is None else (None, None)), start is not None)
 
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
-    columns = ["home", "away", "rank", "created_ms", "id", "provider", "competition"]
-    schema = ", ".join([*(f"{c} {kinds.get(c, 'int')}" for c in columns), f"winner_id {kinds['id']}, score double, near_id {kinds['id']}, near_score double, dated boolean"])
-    folded = ops.folded(ranked, ["home", "away", "island"], [*order, "provider", "competition", "start_ms"], step, schema)
+    kinds = {f.name: f.dataType.simpleString() for f in ranked.schema}
+    columns = ["home", "away", "rank", "created_ms", "id", "providers", "competition"]
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in columns), f"winner_id {kinds['id']}, score double, near_id {kinds['id']}, near_score double, dated boolean"])
+    folded = cut(ops.folded(ranked, ["home", "away", "island"], [*order, "providers", "competition", "start_ms"], step, schema))
 
     own = F.struct(*order)
-    first = folded.where("id = winner_id and dated").groupBy("home", "away", "competition", "provider").agg(F.min(own).alias("first"))
-    heads = first.groupBy("home", "away").agg(F.collect_list(F.struct("competition", "provider", "first")).alias("heads"))
+    first = folded.where("id = winner_id and dated").groupBy("home", "away", "competition", "providers").agg(F.min(own).alias("first"))
+    heads = first.groupBy("home", "away").agg(F.collect_list(F.struct("competition", "providers", "first")).alias("heads"))
     both = folded.join(heads, ["home", "away"], "left")
-    before = F.filter("heads", lambda h: (h["provider"] != F.col("provider")) & (h["first"] < own))
+    apart = lambda h: ~F.coalesce(F.arrays_overlap(F.coalesce(h["providers"], F.array()), F.coalesce("providers", F.array())), F.lit(False))
+    before = F.filter("heads", lambda h: apart(h) & (h["first"] < own))
     mine = F.col("competition")
     score = lambda c: F.when(c == mine, 0.7).when(c.isNull() | mine.isNull(), 0.5).otherwise(0.3)
     far = F.transform(before, lambda h: F.struct((-score(h["competition"])).alias("less"), h["first"]["rank"].alias("rank"), h["first"]["created_ms"].cast("long").alias("created_ms"), h["first"]["id"].alias("other")))
     near = F.when(F.col("near_id").isNotNull(), F.array(F.struct((-F.col("near_score")).alias("less"), F.lit(-1).alias("rank"), F.lit(None).cast("long").alias("created_ms"), F.col("near_id").alias("other"))))
     none = F.array().cast(f"array<struct<less:double,rank:int,created_ms:bigint,other:{kinds['id']}>>")
     best = F.when((F.col("id") == F.col("winner_id")) & F.col("dated"), F.array_min(F.concat(F.coalesce(near, none), F.coalesce(far, none))))
-    members = F.count("*").over(Window.partitionBy("winner_id"))
-    found = both.withColumn("best", best)
-    return found.select("id", "winner_id", "score", F.col("best.other").alias("uncertain_id"), (-F.col("best.less")).alias("uncertain_score"), members.alias("members"))
+    sizes = folded.groupBy("winner_id").agg(F.count("*").alias("members"))
+    found = both.withColumn("best", best).join(sizes, "winner_id")
+    return found.select("id", "winner_id", "score", F.col("best.other").alias("uncertain_id"), (-F.col("best.less")).alias("uncertain_score"), "members")
 
 
 def merge_rows(rows: DataFrame, plan: DataFrame, event: str, key: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Folding of stored events against a plain fold over all roots, and pruning against single faults."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,12 +15,13 @@ SCHEMA = "id long, provider string, home string, away string, competition string
 def plain(events):
     """id to (winner, score, uncertain id, uncertain score, members): every event against every root before it."""
     trust = {"odds-api": 0, "parlay-api": 1}
-    order = lambda e: (trust.get(e[1], 2), -1 if e[6] is None else e[6], e[0])
+    names = lambda e: [e[1]] if isinstance(e[1], str) else e[1]
+    order = lambda e: (min((trust.get(p, 2) for p in names(e)), default=2), -1 if e[6] is None else e[6], e[0])
     roots, out = [], {}
     for e in sorted(events, key=order):
         best = near = None
         for r in roots:
-            if r[1] == e[1] or None in (e[2], e[3], e[5], r[5]) or r[2:4] != e[2:4]:
+            if not frozenset(names(r)).isdisjoint(names(e)) or None in (e[2], e[3], e[5], r[5]) or r[2:4] != e[2:4]:
                 continue
             score = 0.5 + 0.3 * (abs(r[5] - e[5]) <= 2 * HOUR) + (0 if None in (r[4], e[4]) else 0.2 if r[4] == e[4] else -0.2)
             score = round(score, 3)
@@ -50,6 +52,34 @@ def test_fold_equals_plain(spark, seed):
     assert {s for _, s, _, _, _ in got.values()} >= {0.8, 1.0, None} and {s for *_, s, _ in got.values()} >= {0.3, 0.5, 0.6, 0.7}
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_fold_of_events_with_several_sources(spark, seed):
+    """Events that share a provider are never one; the most trusted provider decides the order."""
+    rng = random.Random(seed)
+    names = ["odds-api", "parlay-api", "x", "y"]
+    events = [(i, rng.sample(names, rng.choice([0, 1, 1, 2, 3])), rng.choice("ab"), "p", rng.choice(["m", "n", None]), rng.randrange(-30, 60) * HOUR // 2, rng.choice([None, 1, 2, 3])) for i in range(150)]
+    rows = spark.createDataFrame(events, SCHEMA.replace("provider string", "providers array<string>"))
+    got = {r["id"]: tuple(r)[1:] for r in reconcile.fold_events(rows).collect()}
+    assert got == plain(events)
+
+
+def test_fold_of_one_large_island(spark):
+    """Twice the events of an island take about twice the time: an event meets the starts near it, not all roots."""
+    took = []
+    for n in (40_000, 80_000):
+        roots, began = reconcile.Roots(2 * HOUR), time.process_time()
+        for i in range(n):
+            start, providers = i * 60_000, frozenset([["odds-api", "x"][i % 2]])
+            best, _ = roots.held_against(providers, "m" if i % 3 else "n", start)
+            if best is None:
+                roots.add(i, providers, "m" if i % 3 else "n", start)
+        took.append(time.process_time() - began)
+    assert took[1] < 3 * took[0]
+    events = spark.range(24_000).selectExpr("id", "if(id % 2 = 0, 'odds-api', 'x') provider", "'a' home", "'b' away", "'m' competition", "id * 60000 start_ms", "id created_ms")
+    began = time.time()
+    assert reconcile.fold_events(events).count() == 24_000 and time.time() - began < 10
+
+
 def test_fold_of_no_events(spark):
     assert reconcile.fold_events(spark.createDataFrame([], SCHEMA)).collect() == []
 
