@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.shared import cut
+from ..sources.versions import Versions
 from . import ops
 
 #: Providers from the most trusted one; others come after them.
@@ -128,6 +129,42 @@ def merge_rows(rows: DataFrame, plan: DataFrame, event: str, key: list[str]) ->
     return per_key.groupBy("winner_id").agg(F.count("*").alias("kept"), F.count_if(F.col("first.moved")).alias("moved"), F.sum(F.col("n") - 1).alias("dropped"))
 
 
+def merged_rows(rows: DataFrame, plan: DataFrame, event: str, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows after the merge, conflicts): what ``merge_rows`` counts, row by row.
+
+    A row that stays has its survivor as ``event``, its own event as ``from_event`` and whether it ``moved``. A conflict
+    is a row whose key the survivor has already: its own columns, ``winner_id`` and the event of the row that stays, ``kept_from``. Of rows of one event and key
+    the least by its other columns stays.
+    """
+    rest = [c for c in rows.columns if c not in (event, *key)]
+    pointed = rows.join(plan.select(F.col("id").alias(event), "winner_id"), event)
+    row = F.struct((F.col(event) != F.col("winner_id")).alias("moved"), F.col(event).alias("from_event"), *rest)
+    kept = pointed.groupBy("winner_id", *key).agg(F.min(row).alias("row"), F.count("*").alias("n"))
+    stay = kept.select(F.col("winner_id").alias(event), *key, "row.from_event", "row.moved", *(f"row.{c}" for c in rest))
+    p, k = pointed.withColumn("row", row).alias("p"), kept.where("n > 1").alias("k")
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("winner_id", *key)]
+    own = F.struct(*(f"p.{c}" for c in rows.columns)).alias("own")
+    both = p.join(k, same).select(own, "p.winner_id", F.col("p.row").alias("row"), F.col("k.row").alias("kept"))
+    # copies of the row that stays are conflicts too, but one
+    again = both.where("row = kept").groupBy("own", "winner_id", "kept").agg(F.count("*").alias("n")).where("n > 1").select("own", "winner_id", "kept", F.explode(F.sequence(F.lit(2), "n")).alias("copy")).drop("copy")
+    lost = both.where("row <> kept").select("own", "winner_id", "kept").unionByName(again)
+    return stay, lost.select("own.*", "winner_id", F.col("kept.from_event").alias("kept_from"))
+
+
+def apply_merge(versions: Versions, number: int, plan: DataFrame, tables: dict[str, tuple[DataFrame, str, list[str]]]) -> bool:
+    """Writes the merge of several tables (name to rows, event column and key) as one version: each table, its conflicts
+    (``<name>_conflicts``) and the ``plan``. False if that version is committed already, so a retry changes nothing."""
+    if number in versions.committed():
+        return False
+    plan = versions.write("plan", number, plan)
+    for name, (rows, event, key) in tables.items():
+        stay, lost = merged_rows(rows, plan, event, key)
+        versions.write(name, number, stay)
+        versions.write(f"{name}_conflicts", number, lost)
+    versions.commit(number)
+    return True
+
+
 def promote(rows: DataFrame, keys: list[str], row_id: str, at: str) -> DataFrame:
     """keys, primary, promoted: the most trusted provider's row takes the identity; whether it wasn't the first stored."""
     found = rows.groupBy(*keys).agg(F.min(F.struct(provider_rank(F.col("provider")).alias("rank"), F.col(row_id).alias("row"))).alias("best"), F.min(F.struct(F.col(at).alias("at"), F.col(row_id).alias("row"))).alias("first"))

@@ -185,6 +185,27 @@ def event_merge(spark, sf_dir):
     return reconcile.merge_rows(_lines(spark, sf_dir).select("l_orderkey", "l_linenumber"), reconcile.fold_events(_stored_events(spark, sf_dir)), "l_orderkey", ["l_linenumber"])
 
 
+_MERGED_SQL = f"""{_FOLD_SQL}, r AS (SELECT winner_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, row_number() OVER (PARTITION BY winner_id, l_linenumber ORDER BY l_orderkey <> winner_id, l_orderkey, l_partkey, l_suppkey, l_quantity) AS n,
+      first_value(l_orderkey) OVER (PARTITION BY winner_id, l_linenumber ORDER BY l_orderkey <> winner_id, l_orderkey) AS kept_from FROM lineitem JOIN plan ON id = l_orderkey)"""
+
+
+def _merged(spark, sf_dir):
+    rows = _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return reconcile.merged_rows(rows, reconcile.fold_events(_stored_events(spark, sf_dir)), "l_orderkey", ["l_linenumber"])
+
+
+@query(f"WITH {_MERGED_SQL} SELECT winner_id AS l_orderkey, l_linenumber, l_orderkey AS from_event, l_orderkey <> winner_id AS moved, l_partkey, l_suppkey, l_quantity FROM r WHERE n = 1")
+def event_merge_applied(spark, sf_dir):
+    """The rows themselves after merging events, pointing to the survivors."""
+    return _merged(spark, sf_dir)[0]
+
+
+@query(f"WITH {_MERGED_SQL} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, winner_id, kept_from FROM r WHERE n > 1")
+def event_merge_conflicts(spark, sf_dir):
+    """The rows that a merge drops as their survivor has their key already, and whose row stays."""
+    return _merged(spark, sf_dir)[1]
+
+
 _RANKED = ["parlay-api", "other", "odds-api"]
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quoteloom.operators import candidates, reconcile, reports
+from quoteloom.sources.versions import Versions
 
 HOUR = 3_600_000
 SCHEMA = "id long, provider string, home string, away string, competition string, start_ms long, created_ms long"
@@ -126,3 +127,23 @@ def test_prune_reasons(spark, legs, want):
 def test_broken_cursors(spark):
     rows = spark.createDataFrame([("",), ("%%%",), ("abcde",), ("bm90IGpzb24",), ("eyJ2IjoiMSJ9",), (None,), ("eyJ2IjoiMSIsImlkIjoiMiJ9",)], "c string")
     assert [r[0] and tuple(r[0]) for r in rows.select(reports.decode_cursor(F.col("c"))).collect()] == [None] * 6 + [("1", "2")]
+
+
+def test_merge_is_applied_once(spark, tmp_path):
+    """All rows stay or are conflicts; an attempt that died and a retry leave one version."""
+    rng = random.Random(8)
+    plan = [(i, i if i % 4 == 0 else i - i % 4) for i in range(40)]
+    rows = [(rng.randrange(40), rng.choice(["a", "b", None]), rng.randrange(3)) for _ in range(200)]
+    frames = spark.createDataFrame(plan, "id long, winner_id long"), spark.createDataFrame(rows, "event long, k string, x int")
+    winner, groups = dict(plan), {}
+    for event, k, x in rows:
+        groups.setdefault((winner[event], k), []).append((event != winner[event], event, x))
+    want = sorted((w, k, *[(e, m, x) for m, e, x in sorted(g)][0]) for (w, k), g in groups.items() if k) + sorted((w, None, *[(e, m, x) for m, e, x in sorted(g)][0]) for (w, k), g in groups.items() if not k)
+    lost = [(e, k, x, w, sorted(g)[0][1]) for (w, k), g in groups.items() for _, e, x in sorted(g)[1:]]
+    versions = Versions(spark, f"file://{tmp_path}/merge")
+    versions.write("rows", 3, frames[1].limit(5))  # died before its commit
+    assert reconcile.apply_merge(versions, 3, frames[0], {"rows": (frames[1], "event", ["k"])})
+    assert not reconcile.apply_merge(versions, 3, frames[0], {"rows": (frames[1].limit(1), "event", ["k"])})
+    assert versions.committed() == [3] and versions.last_before(3) is None and versions.last_before(9) == 3
+    assert sorted(map(tuple, versions.read("rows", 3).collect()), key=repr) == sorted(want, key=repr)
+    assert sorted(map(tuple, versions.read("rows_conflicts", 3).collect()), key=repr) == sorted(lost, key=repr)
