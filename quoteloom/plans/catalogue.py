@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import settle as s
 from ..operators import coverage, history, ops, quotes, resolve
 from ..sources import binding, wire
-from . import detection, oracles, records
+from . import detection, joint, oracles, records
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -447,8 +447,8 @@ _QUERIES["guaranteed_over_under"] = flagship
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | records.QUERIES | detection.QUERIES
+    return _QUERIES | records.QUERIES | detection.QUERIES | joint.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracles.SQL.items() if k in _QUERIES} | records.SQL | detection.SQL
+    return {k: v for k, v in oracles.SQL.items() if k in _QUERIES} | records.SQL | detection.SQL | joint.SQL

@@ -22,6 +22,34 @@ SLOTS = [
 ]
 SLOT_SCHEMA = "slot int, family string, market_type string, participant string, line_c int, outcome string, base double"
 
+#: Fixed values of selections over periods, corners and cards: slot, family, period, participant, line in cents, outcome, base price.
+JOINT = [
+    (0, "MATCH_RESULT", "FULL_MATCH", None, None, "HOME", 2.2),
+    (1, "MATCH_RESULT", "FULL_MATCH", None, None, "DRAW", 2.6),
+    (2, "MATCH_RESULT", "FULL_MATCH", None, None, "AWAY", 2.4),
+    (3, "MATCH_TOTAL", "FULL_MATCH", None, 250, "OVER", 1.60),
+    (4, "MATCH_TOTAL", "FULL_MATCH", None, 250, "UNDER", 1.60),
+    (5, "MATCH_TOTAL", "FIRST_HALF", None, 150, "OVER", 1.60),
+    (6, "MATCH_TOTAL", "FIRST_HALF", None, 150, "UNDER", 1.60),
+    (7, "MATCH_RESULT", "FIRST_HALF", None, None, "HOME", 2.2),
+    (8, "MATCH_RESULT", "FIRST_HALF", None, None, "DRAW", 2.0),
+    (9, "MATCH_RESULT", "FIRST_HALF", None, None, "AWAY", 2.4),
+    (10, "ASIAN_TOTAL", "SECOND_HALF", None, 125, "OVER", 1.60),
+    (11, "ASIAN_TOTAL", "SECOND_HALF", None, 125, "UNDER", 1.60),
+    (12, "CORNERS", "FULL_MATCH", None, 950, "OVER", 1.60),
+    (13, "CORNERS", "FULL_MATCH", None, 950, "UNDER", 1.60),
+    (14, "CORNERS", "FULL_MATCH", None, 1025, "OVER", 1.60),
+    (15, "CARDS", "FULL_MATCH", None, 350, "OVER", 1.60),
+    (16, "CARDS", "FULL_MATCH", None, 350, "UNDER", 1.60),
+    (17, "CARDS", "FULL_MATCH", None, 400, "UNDER", 1.50),
+    (18, "EXACT_SCORE", "FULL_MATCH", None, None, "2-1", 8.0),
+    (19, "MATCH_TOTAL", "EXTRA_TIME", None, 50, "OVER", 1.60),
+    (20, "BTTS", "SECOND_HALF", None, None, "BTTS_YES", 2.2),
+    (21, "BTTS", "SECOND_HALF", None, None, "BTTS_NO", 1.3),
+    (22, "TEAM_TOTAL", "FULL_MATCH", "HOME", 150, "OVER", 1.70),
+    (23, "ASIAN_HANDICAP", "FIRST_HALF", "HOME", -50, "HOME", 1.90),
+]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -93,3 +121,17 @@ def priced(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) ->
     status = runs(spark, sf_dir).groupBy("source").agg(F.max_by("status", F.struct("started_ms", "run_id")).alias("status"))  # ten rows
     found = found.withColumn("source", F.col("book") % 10).join(F.broadcast(status), "source", "left").join(part, "event", "left")
     return found.drop("source").withColumn("leg_id", leg)
+
+
+def joint_slots(spark: SparkSession) -> DataFrame:
+    """The selections over periods, corners and cards: 24 rows."""
+    return spark.createDataFrame(JOINT, "slot int, family string, period string, participant string, line_c int, outcome string, base double")
+
+
+def joint_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event, slot, odds, book: the best price of each of the joint selections, the first book among equal ones."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("event"), (F.col("l_orderkey") % len(JOINT)).cast("int").alias("slot"), F.col("l_suppkey").alias("book"), "l_discount", "l_tax")
+    priced = line.join(F.broadcast(joint_slots(spark).select("slot", "base")), "slot")  # 24 rows
+    odds = F.round(F.col("base") + F.col("l_discount") * 4 + F.col("l_tax") * 2, 2)
+    best = priced.groupBy("event", "slot").agg(F.max(F.struct(odds.alias("odds"), (-F.col("book")).alias("book"))).alias("best"))
+    return best.select("event", "slot", "best.odds", (-F.col("best.book")).alias("book"))
