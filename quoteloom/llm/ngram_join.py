@@ -50,6 +50,8 @@ LOCAL, HOT, FLUSH = 2, 16, 6_000_000
 SKETCH = 192
 #: The keys are shuffled in so many turns, each written before the next, so the shuffle takes that much less disk.
 TURNS = 2
+#: A task gives the keys of a set once while the set is among the last so many it met; later copies are merged after the shuffle.
+SEEN = 100_000
 #: Sets with this share of shingles that are not hot should never walk to the hot segments.
 COLD = 0.45
 
@@ -77,6 +79,14 @@ def set_id(h: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return textscan.signed(textscan.mix(total[edge[1:]] - total[edge[:-1]] + np.diff(edge).astype(np.uint64)))
 
 
+def first_met(nodes: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which rows are the first of their node and not ``seen``, the nodes seen then)."""
+    new = np.zeros(len(nodes), bool)
+    new[np.unique(nodes, return_index=True)[1]] = True
+    new &= ~np.isin(nodes, seen)
+    return new, np.concatenate([seen, nodes[new]])[-SEEN:]
+
+
 def sketches(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     """Counts of members by hash bucket, at most 255: their L1 distance is never above the sets' difference."""
     bucket = ((textscan.mix(h ^ _U(0x77C1)) >> _U(32)) * _U(SKETCH)) >> _U(32)
@@ -222,16 +232,19 @@ class NgramJoin:
     def index(self) -> tuple[DataFrame, DataFrame]:
         """(k, node, n: nodes of the key) of the keys that several nodes have; (node) of the sets that need the join by shingles.
 
-        A key belongs to one turn by its value, so the turns cost reading the texts again, never a key.
+        A key belongs to one turn by its value, so the turns cost reading the texts again, never a key. Copies of a set
+        within a task give its keys once, so a text with many copies sends each key as often as there are tasks, not copies.
         """
         size, percent = self.size, self.percent
         shared = self.docs.sparkSession.sparkContext.broadcast(self.hot_bitmap())
 
         def keys_of(turn: int):
             def run(batches):
+                seen = np.zeros(0, np.int64)
                 for _, row, h, edge in sets_of(batches, size):
-                    keys, owner, failed = signatures(row, h, np.diff(edge), shared.value, percent)
                     nodes = set_id(h, edge)
+                    new, seen = first_met(nodes, seen)
+                    keys, owner, failed = signatures(row[new[row]], h[new[row]], np.where(new, np.diff(edge), 0), shared.value, percent)
                     mine = keys % np.uint64(TURNS) == turn
                     keys, owner, failed = keys[mine], owner[mine], failed if turn == 0 else failed[:0]
                     yield pa.RecordBatch.from_arrays([pa.array(textscan.signed(np.concatenate([keys, np.zeros(len(failed), np.uint64)]))), pa.array(nodes[np.concatenate([owner, failed])]), pa.array(np.arange(len(keys) + len(failed)) >= len(keys))], ["k", "node", "failed"])

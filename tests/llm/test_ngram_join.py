@@ -147,3 +147,24 @@ def test_shingles_match_words():
     row, h = ngram_join.shingle_sets(w, len(texts), 5)
     assert np.bincount(row, minlength=5).tolist() == [len(shingles(t)) for t in texts]
     assert set(h[row == 0]) <= set(h[row == 4])
+
+
+def test_first_met(monkeypatch):
+    """A node is new once, in and over pieces; beyond the last SEEN it may be new again, which costs rows only."""
+    monkeypatch.setattr(ngram_join, "SEEN", 3)
+    new, seen = ngram_join.first_met(np.array([5, 7, 5, 7, 9]), np.zeros(0, np.int64))
+    assert new.tolist() == [True, True, False, False, True] and seen.tolist() == [5, 7, 9]
+    new, seen = ngram_join.first_met(np.array([9, 5, 2]), seen)
+    assert new.tolist() == [False, False, True] and seen.tolist() == [7, 9, 2]
+    assert ngram_join.first_met(np.array([5]), seen)[0].tolist() == [True]
+    assert ngram_join.first_met(np.zeros(0, np.int64), seen)[0].tolist() == []
+
+
+@pytest.mark.parametrize("seen", [1, 100_000])
+def test_copies_give_their_keys_once_a_task(spark, monkeypatch, seen):
+    monkeypatch.setattr(ngram_join, "SEEN", seen)
+    monkeypatch.setattr(ngram_join, "HOT", 4)
+    docs = corpus(21, 40)
+    docs += [(2_000_000 + i, docs[i % 7][1]) for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, ngram_components(frame).collect()), key=repr) == brute(docs)
