@@ -417,3 +417,22 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     if twice.limit(1).count():
         left = store.without(left, twice, "own_key", "own_text").unionByName(store.only(left, twice, "own_key", "own_text").dropDuplicates(["own_key", "own_text"]))
     return left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
+#: The rows of ``ngram_components(documents, 5, 75)``: distinct sets are nodes, shingles in common are counted by a join, links are followed.
+ORACLE = r"""
+WITH RECURSIVE dw AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT rid, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') AS gram FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM dw WHERE len(w) > 0)),
+ds AS (SELECT rid, count(*) AS n, md5(string_agg(gram, chr(10) ORDER BY gram)) AS own FROM sh GROUP BY rid),
+nd AS (SELECT own, min(rid) AS node, max(n) AS n FROM ds GROUP BY own),
+ns AS (SELECT node, n, gram FROM nd JOIN sh ON rid = node),
+lk AS (SELECT x.node AS a, y.node AS b FROM ns x JOIN ns y ON x.gram = y.gram AND x.node < y.node AND 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n)
+  GROUP BY x.node, y.node, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+reach(a, b) AS (SELECT node, node FROM nd UNION SELECT r.a, e.b FROM reach r JOIN (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk) e ON e.a = r.b),
+part AS (SELECT a AS node, min(b) AS part FROM reach GROUP BY a),
+named AS (SELECT rid, part FROM ds JOIN nd USING (own) JOIN part USING (node)),
+least_id AS (SELECT part, min(doc_id) AS component_id FROM named JOIN dw USING (rid) GROUP BY part)
+SELECT doc_id, CAST(coalesce(ds.n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM dw LEFT JOIN ds USING (rid) LEFT JOIN named USING (rid) LEFT JOIN least_id USING (part)
+"""

@@ -88,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": decontaminate.ORACLE, "op11_vector_search": vector_search.ORACLE, "op12_ranked_search": ranked_search.ORACLE}
+    return {"op4_ngram_jaccard_join": ngram_join.ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE, "op11_vector_search": vector_search.ORACLE, "op12_ranked_search": ranked_search.ORACLE}

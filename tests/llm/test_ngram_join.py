@@ -168,3 +168,13 @@ def test_copies_give_their_keys_once_a_task(spark, monkeypatch, seen):
     docs += [(2_000_000 + i, docs[i % 7][1]) for i in range(60)]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, ngram_components(frame).collect()), key=repr) == brute(docs)
+
+
+def test_sql_equals_brute_force():
+    import duckdb
+
+    docs = corpus(31)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    assert sorted(con.sql(ngram_join.ORACLE).fetchall(), key=repr) == brute(docs)
