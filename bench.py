@@ -9,7 +9,7 @@ os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 HEADLINES = [
     "best_price", "best_price_diversified", "candidate_pairs", "candidate_triples", "coverage_verdicts", "maximin_two_leg", "scan_status", "validation_status",
     "price_changes", "episodes", "source_reliability", "alert_fsm", "market_reconcile_remap", "event_match", "wire_flatten", "guaranteed_over_under",
-    "detection_run", "event_fold", "event_register", "event_merge_applied",
+    "detection_run", "event_fold", "event_register", "event_merge_applied", "coverage_verdicts_periods", "maximin_stakes",
 ]
 
 

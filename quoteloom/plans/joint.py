@@ -85,7 +85,7 @@ _PART = "CASE " + " ".join(f"WHEN slot IN ({', '.join(map(str, v))}) THEN '{k}'"
 @query(f"""WITH {_BEST}, lg AS (SELECT *, {_PART} AS part, {_GROUP} AS size FROM jb WHERE {_PART} IS NOT NULL),
     v AS (SELECT event, part, CASE WHEN count(*) = max(size) THEN 100 / sum(1 / odds) END AS worth, count(*) AS legs, string_agg(CAST(slot AS VARCHAR), ',' ORDER BY slot) AS slots FROM lg GROUP BY event, part)
   SELECT event, string_agg(slots, ',' ORDER BY CASE part WHEN 'goals' THEN 1 WHEN 'corners' THEN 2 ELSE 3 END) AS slots, CAST(sum(legs) AS BIGINT) AS legs, max(worth) IS NOT NULL AS covered,
-    round(max(worth), 6) AS min_return, round(max(worth) - 100, 6) AS profit, coalesce(max(worth) > 100 + 1e-7, false) AS is_arb, CASE WHEN max(worth) IS NOT NULL THEN 100.0 END AS staked FROM v GROUP BY event""")
+    round(max(worth), 6) AS min_return, round(max(worth) - 100, 6) AS profit, coalesce(max(worth) > 100 + 1e-7, false) AS is_arb, CASE WHEN max(worth) IS NOT NULL THEN CAST(100 AS DOUBLE) END AS staked FROM v GROUP BY event""")
 def maximin_stakes(spark, sf_dir):
     """Stakes of 1 to 7 legs of an event, its result, corners and cards: which sets are covered, and what they guarantee."""
     wanted = [x for slots in EXHAUSTIVE.values() for x in slots]
