@@ -25,8 +25,10 @@ def query(f: Query) -> Query:
     return f
 
 
-def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.best_price(binding.quotes(spark, sf_dir))
+def _best(spark: SparkSession, sf_dir: str, *slots: int) -> DataFrame:
+    """The best prices, of some slots only if any are named: then no other price is grouped or combined."""
+    found = binding.quotes(spark, sf_dir)
+    return quotes.best_price(found.where(F.col("slot").isin(*slots)) if slots else found)
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +171,7 @@ def classic_two_way(spark, sf_dir):
 @query
 def classic_three_way(spark, sf_dir):
     total = sum(1 / F.col(f"odds_{x}") for x in "abc")
-    rows = quotes.triples(_best(spark, sf_dir)).where("slot_a = 5 and slot_b = 6 and slot_c = 7")
+    rows = quotes.triples(_best(spark, sf_dir, 5, 6, 7)).where("slot_a = 5 and slot_b = 6 and slot_c = 7")
     return rows.select("event", *(F.round(100 / F.col(f"odds_{x}") / total, 6).alias(f"stake_{x}") for x in "abc"), F.round(1 / total - 1, 6).alias("roi"))
 
 
@@ -438,7 +440,7 @@ def bookmaker_grid(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-book Over/Under 2.5 complements that guarantee a profit, the best first."""
     total = 1 / F.col("odds_a") + 1 / F.col("odds_b")
-    rows = _pairs(spark, sf_dir).where("slot_a = 0 and slot_b = 1").where((total < 1) & (F.col("book_a") != F.col("book_b")))
+    rows = quotes.pairs(_best(spark, sf_dir, 0, 1)).where("slot_a = 0 and slot_b = 1").where((total < 1) & (F.col("book_a") != F.col("book_b")))
     stakes = [F.round(100 / F.col(f"odds_{x}") / total, 6).alias(f"stake_{x}") for x in "ab"]
     return rows.select("event", "book_a", "odds_a", "book_b", "odds_b", *stakes, F.round(1 / total - 1, 6).alias("roi")).orderBy(F.col("roi").desc(), "event")
 

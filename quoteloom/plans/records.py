@@ -345,7 +345,8 @@ def candidate_capped(spark, sf_dir):
 def opportunity_build(spark, sf_dir):
     """Stored opportunities: key, expiry by the oldest price, what each leg returns, guaranteed profit."""
     total = 1 / F.col("odds_a") + 1 / F.col("odds_b")
-    rows = quotes.pairs(quotes.best_price(binding.quotes(spark, sf_dir))).where((F.col("slot_a") == 0) & (F.col("slot_b") == 1) & (total < 1) & (F.col("book_a") != F.col("book_b")))
+    found = binding.quotes(spark, sf_dir).where(F.col("slot").isin(0, 1))
+    rows = quotes.pairs(quotes.best_price(found)).where((F.col("slot_a") == 0) & (F.col("slot_b") == 1) & (total < 1) & (F.col("book_a") != F.col("book_b")))
     ids = F.transform(F.array("slot_a", "slot_b"), lambda s: F.concat(F.lit("s"), s.cast("string")))
     returned = [F.round(100 / F.col(f"odds_{x}") / total * F.col(f"odds_{x}"), 6).alias(f"return_{x}") for x in "ab"]
     expires = F.least("observed_ms_a", "observed_ms_b") + MAX_AGE_MS
