@@ -19,6 +19,7 @@ CASES = {
     "complement": ([OVER, UNDER], "COVERED"),
     "result": ([leg("MATCH_RESULT", o) for o in ("HOME", "DRAW", "AWAY")], "COVERED"),
     "double chance and result": ([leg("DOUBLE_CHANCE", "HOME_OR_DRAW"), leg("MATCH_RESULT", "AWAY")], "COVERED"),
+    "three legs of two markets": ([leg("MATCH_RESULT", "HOME"), leg("MATCH_RESULT", "DRAW"), leg("DOUBLE_CHANCE", "HOME_OR_AWAY")], "COVERED"),
     "overlapping totals": ([leg("MATCH_TOTAL", "OVER", 1050), leg("MATCH_TOTAL", "UNDER", 1350)], "NON_EXCLUSIVE"),
     "team totals and total": ([leg("MATCH_TOTAL", "UNDER", 150), leg("TEAM_TOTAL", "OVER", 150, participant="HOME"), leg("TEAM_TOTAL", "OVER", 150, participant="AWAY")], "BOTH_LOSS_STATE"),
     "push of a whole line": ([leg("ASIAN_TOTAL", "OVER", 200), leg("ASIAN_TOTAL", "UNDER", 200)], "NON_EXHAUSTIVE"),
@@ -54,7 +55,7 @@ def result(x, home, away, first):
             value, line, outcome = (home - away) * (1 if participant == "HOME" else -1), -line, "OVER"
         lines = (line - 25, line + 25) if line % 50 == 25 else (line, line)
         return sum(sign(value * 100 - y) for y in lines) * (1 if outcome == "OVER" else -1)
-    won = {"HOME": home > away, "DRAW": home == away, "AWAY": home < away, "HOME_OR_DRAW": home >= away}.get(outcome, outcome == f"{home}-{away}")
+    won = {"HOME": home > away, "DRAW": home == away, "AWAY": home < away, "HOME_OR_DRAW": home >= away, "HOME_OR_AWAY": home != away}.get(outcome, outcome == f"{home}-{away}")
     return 2 if won else -2
 
 
@@ -138,3 +139,13 @@ def test_stakes(spark):
     assert abs(found[1]["min_return"] - 100 / (1 / 5 + 1 / 2)) < 1e-9 and abs(sum(found[1]["stakes"]) - 100) < 1e-9 and found[1]["is_arb"]
     assert not found[4]["is_arb"] and found[4]["profit"] < 0
     assert all(found[i]["stakes"] is None and not found[i]["is_arb"] and found[i]["min_return"] is None for i in (2, 3, 5, 6))
+
+
+PRICED = {"complement": ([2.1, 2.0], True), "result": ([3.2, 3.3, 2.9], True), "double chance and result": ([1.95, 2.1], True), "three legs of two markets": ([3.6, 4.4, 2.2], True)}
+
+
+def test_prices_of_covered_cases(spark, judged):
+    rows = [(k, [x["vector"] for x in judged[k]["states"]], odds, arb) for k, (odds, arb) in PRICED.items()]
+    rows.append(("overround", rows[1][1], [1.95, 3.0, 4.0], False))
+    found = joint.staked(spark.createDataFrame(rows, "name string, vectors array<array<int>>, odds array<double>, want boolean")).collect()
+    assert len(found) == 5 and all(r["is_arb"] == r["want"] for r in found)
