@@ -6,6 +6,7 @@ quarter line (25 or 75 cents) is the sum of its two neighbours' signs and no flo
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +122,10 @@ def multiplier(result: Column, odds: Column) -> Column:
     return F.when(result == 2, odds).when(result == 1, (odds + 1) / 2).when(result == 0, 1.0).when(result == -1, 0.5).when(result == -2, 0.0)
 
 
+#: The same by result + 2, for stacked solves: a return is a share of the odds and one of the stake.
+SHARE_OF_ODDS, SHARE_OF_STAKE = np.array([0.0, 0.0, 0.0, 0.5, 1.0]), np.array([0.0, 0.5, 1.0, 0.5, 0.0])
+
+
 def boundary(family: Column, line_c: Column) -> Column:
     """The largest goal count a selection speaks of."""
     binary = F.when(family.isin("BTTS", "MATCH_RESULT", "DOUBLE_CHANCE"), 1).otherwise(0)

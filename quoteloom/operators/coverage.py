@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ..functions import settle as s
 
@@ -83,13 +86,85 @@ def maximin_two(df: DataFrame) -> DataFrame:
     return m.withColumn("best_return", F.array_max(F.transform(shares, lambda t: worst(F.col("matrix"), t)))).drop("matrix")
 
 
-#: Systems of equations that one stacked call solves at most.
-SYSTEMS = 200_000
+#: Systems of equations that one stacked call solves at most, and matrices of up to three legs that are taken at once.
+SYSTEMS, BLOCK = 200_000, 8192
 
 
 def maximin_stack(matrices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(values, shares) of the largest guaranteed returns of many matrices of one shape (rows x states x legs, all >= 0).
 
+    Up to three legs by closed forms over the states that matter, more by linear solves.
+    """
+    count, states, legs = matrices.shape
+    if legs > 3:
+        return _vertices(matrices)
+    values, shares = np.zeros(count), np.zeros((count, legs))
+    for i in range(0, count, BLOCK):
+        some = matrices[i : i + BLOCK]
+        kept = _least_states(some)
+        sizes = kept.sum(axis=1)
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            values[i + at], shares[i + at] = _closed(some[at][kept[at]].reshape(len(at), size, legs))
+    return values, shares
+
+
+def _least_states(matrices: np.ndarray) -> np.ndarray:
+    """rows x states: whether a state can decide the least return, as no other pays at most as much with every leg (of equal ones the first)."""
+    count, states, legs = matrices.shape
+    m = np.ascontiguousarray(matrices.transpose(1, 2, 0))
+    kept = np.ones((states, count), bool)
+    for x, y in permutations(range(states), 2):
+        under, less = m[x, 0] <= m[y, 0], m[x, 0] < m[y, 0]
+        for leg in range(1, legs):
+            under &= m[x, leg] <= m[y, leg]
+            less |= m[x, leg] < m[y, leg]
+        kept[y] &= ~(under & less if y < x else under)
+    return kept.T
+
+
+def _closed(matrices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``maximin_stack`` of at most three legs: all on one leg, two legs where two states pay the same, three where three do."""
+    count, states, legs = matrices.shape
+    m = np.ascontiguousarray(matrices.transpose(1, 2, 0))
+    values, best = np.full(count, -np.inf), np.zeros((legs, count))
+
+    def offer(share: dict) -> None:
+        worth = good = None
+        for x in range(states):
+            paid = sum(v * m[x, i] for i, v in share.items())
+            worth = paid if worth is None else np.minimum(worth, paid)
+        good = worth > values  # not if it is nan
+        for v in share.values():
+            good = good & (v >= -1e-9)
+        if good.any():
+            values[good] = worth[good]
+            for i in range(legs):
+                best[i, good] = np.broadcast_to(share.get(i, 0.0), (count,))[good]
+
+    def parted(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(whole) > 1e-12, part / whole, np.nan)
+
+    with np.errstate(all="ignore"):
+        for i in range(legs):
+            offer({i: np.float64(1.0)})
+        for i, j in combinations(range(legs), 2):
+            for x, y in combinations(range(states), 2):
+                share = parted(m[y, j] - m[x, j], m[x, i] - m[x, j] - m[y, i] + m[y, j])
+                offer({i: share, j: 1 - share})
+        if legs == 3:
+            for x, y, z in combinations(range(states), 3):
+                a, b = m[x] - m[y], m[x] - m[z]
+                across = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+                whole = across[0] + across[1] + across[2]
+                first, second = parted(across[0], whole), parted(across[1], whole)
+                offer({0: first, 1: second, 2: 1 - first - second})
+    return values, best.T
+
+
+def _vertices(matrices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``maximin_stack`` for any number of legs.
+
     Every vertex of the polytope of (shares, value) has as many tight rows as legs: states that attain the value or
     shares of zero. The vertices of all matrices are solved in stacked calls and the best feasible one of each is taken.
     """
@@ -120,21 +195,44 @@ def maximin(matrix: np.ndarray) -> tuple[float, np.ndarray]:
     return float(values[0]), shares[0]
 
 
+SOLVED = StructType().add("best_return", DoubleType()).add("shares", ArrayType(DoubleType()))
+
+
+@F.arrow_udf(SOLVED)
+def solved(vectors: pa.Array, odds: pa.Array) -> pa.Array:
+    """The best guaranteed return and its shares, from the distinct result vectors of a candidate's states and the odds of its legs; null where odds are null.
+
+    Candidates with as many states and legs are solved in stacked calls.
+    """
+    rows = np.flatnonzero(pc.fill_null(pc.and_(pc.is_valid(vectors), pc.is_valid(odds)), False).to_numpy(zero_copy_only=False))
+    best, shares = np.full(len(odds), np.nan), {}
+    vectors, odds = vectors.take(pa.array(rows)), odds.take(pa.array(rows))
+    states, legs = pc.list_value_length(vectors).to_numpy(), pc.list_value_length(odds).to_numpy()
+    results, prices = vectors.flatten().flatten().to_numpy(zero_copy_only=False), odds.flatten().to_numpy(zero_copy_only=False)
+    of_results, of_prices = np.cumsum(states * legs) - states * legs, np.cumsum(legs) - legs
+    for shape in set(zip(states.tolist(), legs.tolist(), strict=True)):
+        at = np.flatnonzero((states == shape[0]) & (legs == shape[1]))
+        result = results[of_results[at][:, None] + np.arange(shape[0] * shape[1])].reshape(len(at), *shape).astype(int)
+        price = prices[of_prices[at][:, None] + np.arange(shape[1])][:, None, :]
+        best[rows[at]], found = maximin_stack(s.SHARE_OF_ODDS[result + 2] * price + s.SHARE_OF_STAKE[result + 2])
+        shares[shape] = (rows[at], np.clip(found, 0, None))
+    sizes = np.zeros(len(best), np.int32)
+    for at, found in shares.values():
+        sizes[at] = found.shape[1]
+    ends = np.cumsum(sizes)
+    flat = np.zeros(int(ends[-1]) if len(ends) else 0)
+    for at, found in shares.values():
+        flat[(ends - sizes)[at][:, None] + np.arange(found.shape[1])] = found
+    none = sizes == 0
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat), mask=pa.array(none))
+    return pa.StructArray.from_arrays([pa.array(best, mask=none), lists], ["best_return", "shares"])
+
+
 def maximin_many(df: DataFrame, legs: int) -> DataFrame:
-    """event, slots and best_return of candidates of three legs and more: those of a batch with as many states in stacked calls."""
+    """event, slots and best_return of candidates of three legs and more."""
     keys = ["event", *(f"slot_{x}" for x in "abc"[:legs])]
-
-    def run(batches):
-        for pdf in batches:
-            best, sizes = np.zeros(len(pdf)), pdf["matrix"].map(len).to_numpy()
-            for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                flat = np.concatenate([np.concatenate(m) for m in pdf["matrix"].iloc[at]])
-                best[at] = maximin_stack(flat.astype(float).reshape(len(at), size, legs))[0]
-            yield pdf[keys].assign(best_return=best)
-
-    schema = "event long, " + ", ".join(f"{k} int" for k in keys[1:]) + ", best_return double"
-    return df.select(*keys, payoffs(legs).alias("matrix")).mapInPandas(run, schema)
+    found = solved("vectors", F.array(*(F.col(f"odds_{x}") for x in "abc"[:legs])))
+    return df.select(*keys, found["best_return"].alias("best_return"))
 
 
 def scan_status(pruned: Column, verdict: Column, best_return: Column) -> Column:

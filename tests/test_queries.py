@@ -132,3 +132,29 @@ def test_random_series_changes(spark):
     q.stop()
     got = {tuple(r) for r in spark.table("changed").collect()}
     assert got == {tuple(r) for r in history.changes(frame).drop("before").collect()}
+
+
+def test_three_legs_without_linear_solves(monkeypatch):
+    """Up to three legs are solved in closed form, and equal the vertices of linear solves."""
+    rng = np.random.default_rng(11)
+    stacks = [rng.choice([0.0, 0.5, 1.0, 1.4, 1.9, 2.6], size=(300, states, legs)) for states, legs in ((1, 1), (1, 3), (3, 2), (4, 3), (9, 3))]
+    want = [coverage._vertices(m)[0] for m in stacks] if hasattr(coverage, "_vertices") else None
+
+    def solve(*_):
+        raise AssertionError("a linear solve")
+
+    monkeypatch.setattr(np.linalg, "solve", solve)
+    for i, m in enumerate(stacks):
+        values, shares = coverage.maximin_stack(m)
+        assert np.allclose(values, want[i], atol=1e-9) and np.allclose((m * shares[:, None]).sum(axis=2).min(axis=1), values, atol=1e-8)
+
+
+def test_solver_of_candidates_with_nulls(spark):
+    rows = spark.createDataFrame(
+        [(1, [[2, -2], [-2, 2]], [2.0, 2.0]), (2, None, [2.0, 2.0]), (3, [[2, -2, -2], [-2, 2, -2], [-2, -2, 2]], [3.0, 3.0, 3.0]), (4, [[-1, 2]], [5.0, 1.5]), (5, [[1, 0]], None)],
+        "id int, vectors array<array<int>>, odds array<double>",
+    )
+    got = {r["id"]: (r["s"]["best_return"], r["s"]["shares"]) for r in rows.select("id", coverage.solved("vectors", "odds").alias("s")).collect()}
+    assert got[2] == got[5] == (None, None)
+    assert got[1] == (1.0, [0.5, 0.5]) and got[4] == (1.5, [0.0, 1.0])
+    assert abs(got[3][0] - 1) < 1e-12 and np.allclose(got[3][1], 1 / 3)
