@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +64,25 @@ def prune(legs: Column, event: Column, period: Column, now_ms: int, max_age_ms:
     return F.array_compact(F.array(*(F.when(bad, name) for name, bad in sorted(reasons.items()))))
 
 
+def prune_compatible(legs: list[Column], repeated: Column, sides: Column, least_confidence: float = 0.8, least_odds: float = 1.0) -> Column:
+    """As ``prune`` for compatible selections of one event and period, in any order of time.
+
+    legs: columns, null where a candidate has fewer. What depends on selections only is known: whether one is ``repeated``, and
+    whether they are the two ``sides`` of a line. Written out a leg, so it is compiled, which functions over arrays aren't.
+    """
+    some = lambda f: reduce(or_, (F.coalesce(x.isNotNull() & f(x), F.lit(False)) for x in legs))
+    total = 1 / legs[0]["odds"] + 1 / legs[1]["odds"]
+    reasons = {
+        "DUPLICATE_SELECTION": repeated,
+        "INVALID_ODDS": some(lambda x: x["odds"].isNull() | F.isnan(x["odds"]) | (x["odds"] <= least_odds) | (x["odds"] == float("inf"))),
+        "SUSPENDED": some(lambda x: x["suspended"]),
+        "SAME_BOOKMAKER": reduce(or_, (x.isNotNull() & y.isNotNull() & x["book"].eqNullSafe(y["book"]) for x, y in combinations(legs, 2))),
+        "EVENT_UNCERTAIN": some(lambda x: x["confidence"] < least_confidence),
+        "PRICE_PREFILTER": F.coalesce(sides & (total >= 1) & ~F.isnan(total), F.lit(False)),
+    }
+    return F.array_compact(F.array(*(F.when(bad, name) for name, bad in sorted(reasons.items()))))
+
+
 def rejections(reasons: Column) -> Column:
     """The sorted distinct rejections reported for reasons."""
     named = F.create_map(*(F.lit(x) for kv in REJECTIONS.items() for x in kv))

@@ -142,3 +142,33 @@ def test_runs_are_repeatable(spark, priced, tmp_path):
     query.awaitTermination(300)
     two = Versions(spark, f"file://{tmp_path}/two")
     assert two.committed()[-1] == max(two.committed()) and tables(two, two.committed()[-1])["prices"] == seen[-1]["prices"]
+
+
+def test_solver_gets_no_legs_and_prices_are_shuffled_once(spark):
+    """Candidates are neither exploded from arrays of legs nor sent whole to Python; all price rows move once, those of an event together."""
+    scans = detection.scanned(binding.priced(spark, SF_DIR), binding.slots(spark), plans.POLICY)
+    plan = scans._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "Generate explode(all" not in plan and "ArrowEvalPython" in plan
+    rows = detection.selected(binding.priced(spark, SF_DIR))
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert sum("Exchange hashpartitioning(event" in line for line in plan.splitlines()) == 2  # prices and parts
+
+
+def test_combinations_are_those_of_legs_in_place(spark, priced):
+    """Candidates against a walk over each group's legs, with the reasons of the general rules."""
+    from quoteloom.operators import candidates, quotes
+
+    families = {s[0]: s[1] for s in binding.SLOTS}
+    fits = lambda a, b: families[a] == families[b] or tuple(sorted((families[a], families[b]))) in quotes.COMPATIBLE
+    rows = priced.withColumn("suspended", F.col("book") % 3 == 0)
+    want = set()
+    for r in detection.selected(rows).collect():
+        slots = [x["slot"] for x in r["legs"]]
+        for n in (2, 3):
+            want |= {(r["event"], r["period"], c) for c in itertools.combinations(slots, n) if all(fits(a, b) for a, b in itertools.combinations(c, 2))}
+    found = detection.scanned(rows, binding.slots(spark), plans.POLICY)
+    full = F.transform("legs", lambda x: F.struct("event", "period", *(x[c].alias(c) for c in detection.LEG)))
+    general = candidates.prune(full, F.col("event"), F.col("period"), plans.POLICY.now_ms)
+    got = found.select("event", "period", "slots", "reasons", general.alias("general")).collect()
+    assert len(got) == len(want) and {(r["event"], r["period"], tuple(r["slots"])) for r in got} == want
+    assert all(r["reasons"] == r["general"] for r in got) and {x for r in got for x in r["reasons"]} >= {"SUSPENDED", "SAME_BOOKMAKER", "EVENT_UNCERTAIN"}
