@@ -99,7 +99,7 @@ def detection_scan(spark, sf_dir):
       round(best * 100, 6) AS min_return, round(best - 1, 6) AS roi, CAST({POLICY.now_ms} - age + {POLICY.max_age_ms} AS BIGINT) AS expires_ms FROM out""")
 def detection_run(spark, sf_dir):
     """One detection run over the current prices: all validated opportunities with the best guaranteed return."""
-    found = detection.opportunities(scans(spark, sf_dir), POLICY)
+    found = detection.opportunities(detection.scanned(binding.priced(spark, sf_dir), binding.slots(spark), POLICY, only_open=True), POLICY)
     return found.select("key", "event", "period", F.array_join("slots", ",").alias("slots"), "structure", "status", "rejection", F.round("min_return", 6).alias("min_return"), F.round("roi", 6).alias("roi"), "expires_ms")
 
 
@@ -121,7 +121,7 @@ def detection_episodes(spark, sf_dir):
     for now in RUNS:
         policy = POLICY._replace(now_ms=now)
         prices = binding.priced(spark, sf_dir, lines.where(F.unix_millis(F.col("l_shipdate").cast("timestamp")) <= now))
-        found = detection.opportunities(detection.scanned(prices, binding.slots(spark), policy), policy)
+        found = detection.opportunities(detection.scanned(prices, binding.slots(spark), policy, only_open=True), policy)
         episodes = detection.folded(episodes, found, now)
     return episodes
 

@@ -33,7 +33,7 @@ def run_batch(updates: DataFrame, number: int, versions: Versions, slots: DataFr
     prices = versions.write("prices", number, current(before, updates))
     now = prices.agg(F.max("observed_ms")).first()[0]
     policy = policy._replace(now_ms=policy.now_ms if now is None else now)
-    found = versions.write("opportunities", number, detection.opportunities(detection.scanned(prices, slots, policy), policy))
+    found = versions.write("opportunities", number, detection.opportunities(detection.scanned(prices, slots, policy, only_open=True), policy))
     versions.write("legs", number, detection.legs_of(found))
     episodes = spark.createDataFrame([], detection.EPISODE) if last is None else versions.read("episodes", last)
     versions.write("episodes", number, detection.folded(episodes, found, policy.now_ms))

@@ -172,3 +172,16 @@ def test_combinations_are_those_of_legs_in_place(spark, priced):
     got = found.select("event", "period", "slots", "reasons", general.alias("general")).collect()
     assert len(got) == len(want) and {(r["event"], r["period"], tuple(r["slots"])) for r in got} == want
     assert all(r["reasons"] == r["general"] for r in got) and {x for r in got for x in r["reasons"]} >= {"SUSPENDED", "SAME_BOOKMAKER", "EVENT_UNCERTAIN"}
+
+
+def test_opportunities_solve_once(spark, priced):
+    """The filter on the solver's result solves nothing again, books are spread in one fold, and refuted combinations meet no prices."""
+    scans = detection.scanned(priced, binding.slots(spark), plans.POLICY, only_open=True)
+    found = detection.opportunities(scans, plans.POLICY)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("array_union(") == 1
+    whole = detection.scanned(priced, binding.slots(spark), plans.POLICY)
+    assert detection.opportunities(whole, plans.POLICY)._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    columns = ["event", "period", "slots", "status", "best_return", "shares"]
+    text = lambda df: sorted(map(str, df.select(*columns).collect()))
+    assert text(scans) == text(whole.where("status in ('ARB', 'NO_ARB')")) and {r["status"] for r in scans.select("status").distinct().collect()} == {"ARB", "NO_ARB"}
