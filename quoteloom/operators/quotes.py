@@ -75,6 +75,24 @@ def triples(best: DataFrame) -> DataFrame:
     return _combined(best, "abc")
 
 
+def held(prices: DataFrame) -> DataFrame:
+    """slots (a bit each, of slots below 63), events: the sets of selections that events have prices of, and how many events have each.
+
+    One bit a selection, set before the shuffle, so an event's rows are combined in place and none is sorted or carries a name.
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot"))
+    sets = prices.where("event is not null").groupBy("event").agg(F.bit_or(bit).alias("slots"))
+    return sets.groupBy("slots").agg(F.count("*").alias("events"))
+
+
+def structures_of(slots: DataFrame, names: str) -> DataFrame:
+    """bits, legs, structure of the compatible pairs or triples of selections: a dimension of a few hundred rows."""
+    fields = {"event": "long", "book": "long", "odds": "double", "observed_ms": "long", "leg_id": "string"}
+    one = slots.select("*", *((F.lit(0) if c == "event" else F.lit(None)).cast(kind).alias(c) for c, kind in fields.items()))
+    bits = sum((F.call_function("shiftleft", F.lit(1).cast("long"), F.col(f"slot_{x}")) for x in names), F.lit(0).cast("long"))
+    return _combined(one, names).select(bits.alias("bits"), F.lit(len(names)).alias("legs"), structure(len(names)).alias("structure"))
+
+
 def capped(candidates: DataFrame, order: list[str], cap: int) -> DataFrame:
     """The first ``cap`` candidates in a stated order, with their number: the cap is the feature, so it is global."""
     kept = candidates.orderBy(*order).limit(cap)

@@ -158,3 +158,20 @@ def test_solver_of_candidates_with_nulls(spark):
     assert got[2] == got[5] == (None, None)
     assert got[1] == (1.0, [0.5, 0.5]) and got[4] == (1.5, [0.0, 1.0])
     assert abs(got[3][0] - 1) < 1e-12 and np.allclose(got[3][1], 1 / 3)
+
+
+def test_structures_are_counted_by_sets_of_selections(spark):
+    """One shuffle by event of narrow rows that are combined in place: nothing is sorted, no candidate is made. Rows without an event or a slot count nowhere."""
+    from pyspark.sql import functions as F
+
+    from quoteloom.operators import quotes
+
+    plan = QUERIES["structure_class"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" in plan and "max_by" not in plan
+    plan = quotes.held(binding.offered(spark, SF_DIR))._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning(event") == 1 and "collect_list" not in plan and "Sort" not in plan
+    sets = {(5, 0), (5, 1), (5, 1), (7, 2), (None, 3), (None, 4)}
+    held = quotes.held(spark.createDataFrame(list(sets) * 2, "event long, slot int"))
+    assert {tuple(r) for r in held.collect()} == {(3, 1), (4, 1)}
+    pairs = quotes.structures_of(binding.slots(spark), "ab").where(F.col("bits") == 3).collect()
+    assert [(r["legs"], r["structure"]) for r in pairs] == [(2, "SAME_MARKET_COMPLEMENT")]
