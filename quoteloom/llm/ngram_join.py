@@ -30,6 +30,7 @@ it is alone (then the name is null); an empty table gives an empty result. Other
 
 from __future__ import annotations
 
+import itertools
 import math
 from functools import lru_cache, reduce
 
@@ -48,6 +49,10 @@ BITMAP_BITS = 1 << 24
 #: many times, so that at most a sixteenth of the bitmap's bits are set.
 LOCAL, HOT, FLUSH = 2, 16, 6_000_000
 SKETCH = 192
+#: Tasks a core that count shingles.
+COUNTERS = 2
+#: Pairs of texts that are compared at once.
+COMPARED = 256
 #: The keys are shuffled in so many turns, each written before the next, so the shuffle takes that much less disk.
 TURNS = 2
 #: A task gives the keys of a set once while the set is among the last so many it met; later copies are merged after the shuffle.
@@ -217,7 +222,9 @@ class NgramJoin:
             if held:
                 yield flush()
 
-        counted = self.docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
+        # few tasks that see much each: a small task would see a common shingle once and not count it
+        docs = self.docs.coalesce(COUNTERS * self.docs.sparkSession.sparkContext.defaultParallelism)
+        counted = docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
         counted = store.keep(counted, "ngram-counts")
         steps = counted.groupBy(F.floor(F.log2(F.col("n") / HOT)).alias("step")).count().toPandas()  # at most 60 rows
         least = min([x for x in range(61) if steps["count"][steps["step"] >= x].sum() <= BITMAP_BITS // 16], default=60)
@@ -273,12 +280,16 @@ class NgramJoin:
         wanted = rows.join(nodes, "node", "left_semi").distinct().withColumnRenamed("node", "a")
         return rows.withColumnRenamed("node", "b").join(wanted, "h").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
+    def texts(self, nodes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(node, text of ``nodes``; a table to discard later)."""
+        found = store.keep(sets.join(nodes, "node", "left_semi").select("node", "key", "text_key"), "ngram-nodes")
+        own = store.only(self.docs.select("key", "text_key", "text"), found.select("key", "text_key"), "key", "text_key")
+        return own.join(found, ["key", "text_key"]).dropDuplicates(["key", "text_key"]).select("node", "text"), found
+
     def members(self, nodes: DataFrame, sets: DataFrame) -> DataFrame:
         """node, members (the sorted hashes of its set, as bytes) of ``nodes``, from the texts."""
         size = self.size
-        found = store.keep(sets.join(nodes, "node", "left_semi").select("node", "key", "text_key"), "ngram-nodes")
-        own = store.only(self.docs.select("key", "text_key", "text"), found.select("key", "text_key"), "key", "text_key")
-        texts = own.join(found, ["key", "text_key"]).dropDuplicates(["key", "text_key"]).select("node", "text")
+        texts, found = self.texts(nodes, sets)
 
         def run(batches):
             for piece, _, h, edge in sets_of(batches, size):
@@ -357,20 +368,24 @@ class NgramJoin:
         fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
         fit = pairs.join(size("a"), "a").join(size("b"), "b").where(fits)
         close = store.keep(fit.join(side("a"), "a").join(side("b"), "b").mapInArrow(near, "a long, b long"), "ngram-close")
-        members = self.members(close.select(F.col("a").alias("node")).union(close.select("b")).distinct(), sets)
+        # texts, not sets, are kept and sent: as hashes a set takes some three times its compressed text
+        texts, found = self.texts(close.select(F.col("a").alias("node")).union(close.select("b")).distinct(), sets)
+        texts, shingles = store.keep(texts, "ngram-texts"), self.size
 
         def exact(batches):
-            for batch in batches:
-                good = []
-                for x, y in zip(batch["x"], batch["y"], strict=True):
-                    x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(good, pa.bool_())), batch["b"].filter(pa.array(good, pa.bool_()))], ["a", "b"])
-
-        sides = close.join(members.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(members.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
+            for whole in batches:
+                for batch in (whole.slice(i, COMPARED) for i in range(0, whole.num_rows, COMPARED)):
+                    both = [pa.RecordBatch.from_arrays([batch[c]], ["text"]) for c in ("x", "y")]
+                    own, other = ([h[i:j] for _, _, h, edge in sets_of([side], shingles) for i, j in itertools.pairwise(edge)] for side in both)
+                    good = []
+                    for x, y in zip(own, other, strict=True):
+                        common = len(np.intersect1d(x, y, assume_unique=True))
+                        good.append(100 * common >= percent * (len(x) + len(y) - common))
+                    yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(good, pa.bool_())), batch["b"].filter(pa.array(good, pa.bool_()))], ["a", "b"])
+
+        sides = close.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
         out = store.keep(sides.mapInArrow(exact, "a long, b long"), "ngram-links")
-        store.discard(close, members)
+        store.discard(close, found, texts)
         return out
 
     def components(self, profile: DataFrame) -> DataFrame:

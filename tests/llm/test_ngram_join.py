@@ -178,3 +178,25 @@ def test_sql_equals_brute_force():
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
     assert sorted(con.sql(ngram_join.ORACLE).fetchall(), key=repr) == brute(docs)
+
+
+def test_common_shingles_are_hot_whatever_the_tasks(spark):
+    """A passage that each of many small tasks sees once is as hot as if one task saw it all."""
+    docs = spark.createDataFrame([(i, f"one common passage of six words {i} own words {i * 7} here") for i in range(64)], "doc_id long, text string")
+    assert ngram_join.NgramJoin(docs.repartition(64)).hot_bitmap().any() and ngram_join.NgramJoin(docs.coalesce(1)).hot_bitmap().any()
+
+
+def test_verified_from_texts(spark, monkeypatch):
+    """Pairs are compared from their texts, in slices of a batch and pieces of a slice; no table of sets is written."""
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join(words[:-2]), " ".join(words[:20]), "short", ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels, keep = [], ngram_join.store.keep
+    monkeypatch.setattr(ngram_join.store, "keep", lambda df, label, *more: labels.append(label) or keep(df, label, *more))
+    job = ngram_join.NgramJoin(docs)
+    nodes = {r["doc_id"]: r["node"] for r in job.profile().collect()}
+    sets = job.profile().where("node is not null")
+    pairs = [(nodes[a], nodes[b]) for a in range(4) for b in range(a)] * 200
+    found = job.verify(spark.createDataFrame(pairs, "a long, b long").coalesce(1), sets).distinct().collect()
+    assert {frozenset(r) for r in found} == {frozenset((nodes[0], nodes[1]))}
+    assert "ngram-texts" in labels and "ngram-members" not in labels
