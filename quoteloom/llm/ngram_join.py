@@ -49,6 +49,8 @@ BITMAP_BITS = 1 << 24
 #: many times, so that at most a sixteenth of the bitmap's bits are set.
 LOCAL, HOT, FLUSH = 2, 16, 6_000_000
 SKETCH = 192
+#: Longs of a parity bitmap.
+PARITY = 8
 #: Tasks a core that count shingles.
 COUNTERS = 2
 #: Pairs of texts that are compared at once.
@@ -98,6 +100,12 @@ def sketches(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.minimum(np.bincount(row * SKETCH + bucket.astype(np.int64), minlength=rows * SKETCH), 255).astype(np.uint8).reshape(rows, SKETCH)
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """PARITY longs: whether an odd number of members fall into each bit. Of two sets they differ in no more bits than the sets in members."""
+    bit = (textscan.mix(h ^ _U(0x0DD5)) % _U(64 * PARITY)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64)
+
+
 @lru_cache
 def allocate(band: int, percent: int) -> tuple[int, int]:
     """(segments, size from which v = 2) of a band: the cheapest choice that leaves the v well beyond H + 1."""
@@ -306,14 +314,15 @@ class NgramJoin:
         The differences of two sets from their centre differ as the sets do. Sets that link and differ from the centre
         by more than H in all have a difference in common; those that don't are both linked to the centre. So the
         differences are joined by prefixes, what a set has beyond the centre before what it lacks: H / 2 + 1 of the
-        smaller difference, H + 1 of the larger.
+        smaller difference, H + 1 of the larger. Differences from one centre have the parities of the pair's own difference
+        between them, so a pair whose parities prove it too large is never put out.
         """
         percent = self.percent
         members = self.members(open_nodes.select("node").union(open_nodes.select("centre")).distinct(), sets)
 
         def run(batches):
             for batch in batches:
-                keys, rows, place, sizes = [], [], [], []
+                keys, rows, place, sizes, odd = [], [], [], [], []
                 for i, (own, centre, name) in enumerate(zip(batch["x"], batch["y"], batch["centre"].to_pylist(), strict=True)):
                     own, centre = (np.frombuffer(s.as_buffer(), np.uint64) for s in (own, centre))
                     more, less = np.setdiff1d(own, centre, assume_unique=True), np.setdiff1d(centre, own, assume_unique=True)
@@ -323,18 +332,19 @@ class NgramJoin:
                     rows.append(np.full(len(keys[-1]), i))
                     place.append(np.arange(len(keys[-1])))
                     sizes.append((len(more), len(less), len(own), most))
+                    odd.append(parities(change))
                 if not rows:
                     continue
                 at, place = np.concatenate(rows), np.concatenate(place)
                 more, less, n, most = np.array(sizes, np.int64)[at].T
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(textscan.signed(np.concatenate(keys))), batch["node"].take(pa.array(at)), batch["label"].take(pa.array(at)), pa.array(more), pa.array(less), pa.array(n), pa.array(more + less - place), pa.array(place <= most // 2)],
-                    ["k", "node", "label", "more", "less", "n", "left", "short"],
+                    [pa.array(textscan.signed(np.concatenate(keys))), batch["node"].take(pa.array(at)), batch["label"].take(pa.array(at)), pa.array(more), pa.array(less), pa.array(n), pa.array(more + less - place), pa.array(place <= most // 2), *map(pa.array, np.array(odd)[at].T)],
+                    ["k", "node", "label", "more", "less", "n", "left", "short", *(f"p{i}" for i in range(PARITY))],
                 )
 
         side = lambda node, column: members.select(F.col("node").alias(node), F.col("members").alias(column))
         rows = open_nodes.join(side("node", "x"), "node").join(side("centre", "y"), "centre").select("node", "label", "centre", "x", "y")
-        rows = store.keep(rows.mapInArrow(run, "k long, node long, label long, more long, less long, n long, left long, short boolean"), "ngram-changes")
+        rows = store.keep(rows.mapInArrow(run, "k long, node long, label long, more long, less long, n long, left long, short boolean" + "".join(f", p{i} long" for i in range(PARITY))), "ngram-changes")
         d = "({0}.more + {0}.less)".format
         most = f"{100 - percent} * (x.n + y.n) div {100 + percent}"
         holds = [
@@ -343,6 +353,7 @@ class NgramJoin:
             f"x.short and ({d('x')} < {d('y')} or {d('x')} = {d('y')} and x.node < y.node)",
             f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)",
             f"abs(x.more - y.more) + abs(x.less - y.less) <= {most}",
+            " + ".join(f"bit_count(x.p{i} ^ y.p{i})" for i in range(PARITY)) + f" <= {most}",
             # of their first common change on, the pair must have as many as it needs in all
             f"2 * least(x.left, y.left) >= {d('x')} + {d('y')} - {most}",
         ]

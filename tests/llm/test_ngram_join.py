@@ -200,3 +200,34 @@ def test_verified_from_texts(spark, monkeypatch):
     found = job.verify(spark.createDataFrame(pairs, "a long, b long").coalesce(1), sets).distinct().collect()
     assert {frozenset(r) for r in found} == {frozenset((nodes[0], nodes[1]))}
     assert "ngram-texts" in labels and "ngram-members" not in labels
+
+
+def test_wide_pairs_of_near_misses(spark):
+    """Variants with one change in common and four of their own differ too much to link: next to no pair is put out."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 80):
+        near = [*base[:60], "again", *base[61:]]
+        for j, at in enumerate(rng.sample([x for x in range(120) if x != 60], 4)):
+            near[at] = f"v{i}-{j}"
+        docs.append((i, " ".join(near)))
+    near = docs[1][1].split()
+    docs.append((80, " ".join([*near[:-1], "last"])))
+    job = NgramJoin(spark.createDataFrame(docs, "doc_id long, text string"))
+    sets = job.profile().cache()
+    centre = sets.where("doc_id = 0").first()["node"]
+    nodes = sets.where("doc_id > 0").selectExpr("node", "node as label", f"{centre}L as centre")
+    pairs = {tuple(r) for r in job.wide_pairs(nodes, sets).collect()}
+    print(f"pairs {len(pairs)}")
+    linked = tuple(sorted(r["node"] for r in sets.where("doc_id in (1, 80)").collect()))
+    assert linked in pairs and len(pairs) <= 80
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(6)
+    for size in (10, 300, 3000):
+        a = rng.integers(0, 2**64, size, np.uint64)
+        b = np.concatenate([a[size // 5 :], rng.integers(0, 2**64, size // 7, np.uint64)])
+        odd = (ngram_join.parities(a) ^ ngram_join.parities(b)).view(np.uint64)
+        assert 0 < np.bitwise_count(odd).sum() <= size // 5 + size // 7
